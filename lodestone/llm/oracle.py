@@ -100,3 +100,22 @@ from r join leaf on left(r.h, leaf.d) = leaf.p
 """
 
 ORACLE_SQL = {"op4_secret_scan": OP4, "op5_extendible_shards": OP5, "op6_personal_data": OP6}
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def near_sql(docs: str, width: int) -> str:
+    """CTEs that end in ``near(doc_id, n_shingles, component_id)`` over ``docs``."""
+    return f"""
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x20\\x09-\\x0D]+') as w from {docs}),
+sh as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < {width} then [array_to_string(w, ' ')]
+         else list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' ')) end) as s from w),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+pair as (select a.doc_id as x, b.doc_id as y, count(*) as i from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all),
+link as (select x, y from pair join n p on p.doc_id = x join n q on q.doc_id = y where 100 * i >= 80 * (p.n + q.n - i)),
+step as (select x, y from link union all select y, x from link),
+reach(id, node) as (select doc_id, doc_id from w union select reach.id, step.y from reach join step on reach.node = step.x),
+near as (select w.doc_id, coalesce(n, 0) as n_shingles, c as component_id from w left join n using (doc_id) join (select id, min(node) as c from reach group by id) r on r.id = w.doc_id)"""
+
+
+ORACLE_SQL["op2_near_duplicates"] = f"with recursive {near_sql('documents', 4)} select *, doc_id = component_id as kept from near"

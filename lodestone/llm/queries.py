@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secrets, sharding
+from . import minhash, pii, secrets, sharding
 from .common import read
 from .oracle import ORACLE_SQL
 
@@ -12,6 +12,10 @@ from .oracle import ORACLE_SQL
 SHARD_BYTES = 1 << 20
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
@@ -24,4 +28,4 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op5_extendible_shards, op6_personal_data)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op4_secret_scan, op5_extendible_shards, op6_personal_data)}
