@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, minhash, packing, pii, quality, secrets, sharding, substrings, toxicity
+from . import decontam, media, minhash, packing, pii, quality, secrets, sharding, substrings, toxicity
 from .common import read
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -38,6 +38,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(read(spark, sf_dir, "documents")))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.pairs(decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.plan(read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,6 @@ def op10_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_quality_attention, op2_near_duplicates, op3_substring_dedup, op4_secret_scan, op5_extendible_shards,
-    op6_personal_data, op8_best_fit_packing, op9_toxicity_chain, op10_media_clips,
+    op6_personal_data, op7_benchmark_decontamination, op8_best_fit_packing, op9_toxicity_chain, op10_media_clips,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -150,34 +150,31 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", repo: str = "source", example_owners: int = 3, mark: str = "[SECRET]") -> DataFrame:
-    """All rows, with every span replaced unless it is a copied example.
+    """All rows, with every span replaced unless its value is a copied example.
 
-    Rows without spans stay in place; only rows with spans are shuffled.
+    Spans follow from the text alone and verdicts from the value, so the ranges
+    to replace are found once for each distinct text and joined back by its hash.
     """
     names = docs.columns
-    c = candidates(docs, text, repo)
-    own = cut(ownership(c), "secret-owners")
-    with_spans = c.where(F.size("__all") > 0)
-    flat = with_spans.select("__row", F.explode("__all").alias("__s")).withColumn("__hash", F.sha2("__s.value", 256))
+    c = candidates(docs.select(F.col(text).alias("text"), F.col(repo).alias("source"))).where(F.size("__all") > 0)
+    c = cut(c.select(F.md5("text").alias("__key"), "__repo", "__owner", "__all"), "secrets")
+    flat = c.select("__key", F.explode("__all").alias("s")).select("__key", "s.start", "s.end", "s.value", F.sha2("s.value", 256).alias("__hash"))
     hide = (
-        flat.join(own, "__hash")
-        .where(verdict(F.col("__s.value"), F.col("__owners"), example_owners) != "example")
-        .groupBy("__row")
-        .agg(F.array_sort(F.collect_list(F.struct("__s.start", "__s.end"))).alias("__hide"))
+        flat.join(ownership(c), "__hash")
+        .where(verdict(F.col("value"), F.col("__owners"), example_owners) != "example")
+        .groupBy("__key")
+        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__hide"))
     )
     cuts = F.aggregate(
-        F.coalesce(F.col("__hide"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")),
+        "__hide",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
         lambda a, s: F.struct(
             F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)))
-            .otherwise(a["out"]).alias("out"),
+            .otherwise(a["out"])
+            .alias("out"),
             F.greatest(a["at"], s["end"]).alias("at"),
         ),
         lambda a: F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.lit(2147483647))),
     )
-    done = (
-        with_spans.select("__row", *names).join(hide, "__row", "left")
-        .withColumn(text, F.when(F.col("__hide").isNull(), F.col(text)).otherwise(cuts))
-        .select(*names)
-    )
-    return c.where(F.size("__all") == 0).select(*names).unionByName(done)
+    joined = docs.join(hide, F.md5(F.col(text)) == F.col("__key"), "left")
+    return joined.withColumn(text, F.when(F.col("__hide").isNull(), F.col(text)).otherwise(cuts)).select(*names)
