@@ -47,11 +47,11 @@ def spans(text: Column) -> tuple[Column, Column]:
     """(base spans, all spans), each sorted by start and then kind."""
     text = F.coalesce(text, F.lit(""))
 
+    def at_least(n: int):
+        return lambda s: F.length(s["value"]) >= n
+
     def of(rules: list, first: int) -> list[Column]:
-        return [
-            F.filter(matches(text, rx, kind, first + n, group), lambda s, least=least: F.length(s["value"]) >= least)
-            for n, (kind, rx, group, least) in enumerate(rules)
-        ]
+        return [F.filter(matches(text, rx, kind, first + n, group), at_least(least)) for n, (kind, rx, group, least) in enumerate(rules)]
 
     return F.array_sort(F.concat(*of(BASE, 0))), F.array_sort(F.concat(*of(ADDED, len(BASE))))
 
