@@ -70,8 +70,8 @@ def truncate_bytes(text: Column, limit: int) -> Column:
 
 
 def truncate_ellipsis(text: Column, limit: int) -> Column:
-    """At most ``limit - 1`` bytes: a shortened text ends in an ellipsis (three bytes)."""
-    return F.when(F.octet_length(text) < limit, text).otherwise(F.concat(truncate_bytes(text, limit - 4), F.lit("…")))
+    """At most ``limit`` bytes: a shortened text ends in an ellipsis (three bytes)."""
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(truncate_bytes(text, limit - 3), F.lit("…")))
 
 
 def snippet(text: Column, full: bool = False, limit: int = 12) -> Column:

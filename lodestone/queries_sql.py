@@ -267,4 +267,4 @@ add("remote_rank", f"""with {CH}, {IX}, hs as (select *, list_cosine_similarity(
 select chunk_idx, round((0.85 * semantic + 0.15 * least(1.0, bm25 / 10)) * case when contains(lower(text), 'the') then 1.1 else 1.0 end * {factor('path')}, 6) as score
 from hits join m using (chunk_idx) order by score desc, path, id limit 10""")
 add("remote_rows", f"""with {CH}, r as (select hash as id, chunk_idx, text from (select *, row_number() over (partition by hash order by chunk_idx) as k from ch) where k = 1)
-select id, chunk_idx, cast(case when strlen(text) < 3800 then strlen(text) else 3 + (select max(strlen(left(text, i))) from (select unnest(range(1, length(text) + 1)) as i) where strlen(left(text, i)) <= 3796) end as bigint) as n_bytes from r""")
+select id, chunk_idx, cast(case when strlen(text) <= 3800 then strlen(text) else 3 + (select max(strlen(left(text, i))) from (select unnest(range(1, length(text) + 1)) as i) where strlen(left(text, i)) <= 3797) end as bigint) as n_bytes from r""")
