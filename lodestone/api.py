@@ -16,7 +16,7 @@ from .embed import Embedder, HashingEmbedder, embed_chunks
 from .functions import text as tx
 from .functions import vectors
 from .operators import chunk, graph, hierarchy, incremental, lexical
-from .plans.planner import SearchOptions, fields_of, rank_remote, remote_fetch_size, search
+from .plans.planner import Lexicon, SearchOptions, fields_of, rank_remote, remote_fetch_size, search
 from .sources import repo
 from .sources.remote import RemoteStore, push
 from .sources.store import Snapshot, Store, check_model, worktree_main
@@ -115,7 +115,8 @@ class Engine:
     def search(self, query: str, options: SearchOptions | None = None) -> DataFrame:
         options = options or SearchOptions()
         snap = self.snapshot()
-        found = search(snap.table("chunks"), query, self._embed, options, n=snap.metadata["total_chunks"])
+        lexicon = Lexicon(snap.table("postings"), snap.table("lengths"))
+        found = search(snap.table("chunks"), query, self._embed, options, snap.metadata["total_chunks"], lexicon)
         return found.withColumn("snippet", tx.snippet(F.col("text"), options.full_context))
 
     def search_files(self, query: str, limit: int = 10) -> DataFrame:

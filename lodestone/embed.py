@@ -7,7 +7,10 @@ closeness only.  ``OnnxEmbedder`` loads a local model directory where one is giv
 
 from __future__ import annotations
 
+import gzip
+import json
 import time
+import urllib.request
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -98,6 +101,32 @@ def _onnx(folder: str, max_tokens: int):
     return onnxruntime.InferenceSession(f"{folder}/model.onnx"), tokenizer
 
 
+class HttpEmbedder:
+    """A remote embedding service: requests of at most 1000 texts, optionally compressed."""
+
+    def __init__(self, url: str, dimension: int = VECTOR_DIM, batch: int = 128, headers: dict | None = None, compress: bool = False, timeout: float = 120.0, send=None):
+        self.url, self.dimension, self.batch, self.headers = url, dimension, min(batch, 1000), headers or {}
+        self.compress, self.timeout, self.send, self.name = compress, timeout, send or _post, f"http:{url}"
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for at in range(0, len(texts), self.batch):
+            body = json.dumps({"texts": texts[at : at + self.batch], "dimension": self.dimension}).encode()
+            headers = {"Content-Type": "application/json", **self.headers}
+            if self.compress:
+                body, headers = gzip.compress(body), {**headers, "Content-Encoding": "gzip"}
+            found = json.loads(self.send(self.url, body, headers, self.timeout))["embeddings"]
+            if len(found) != len(texts[at : at + self.batch]) or any(len(v) != self.dimension for v in found):
+                raise ValueError("the service answered with another number of vectors or dimensions")
+            out += found
+        return out
+
+
+def _post(url: str, body: bytes, headers: dict, timeout: float) -> bytes:
+    with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=timeout) as reply:
+        return reply.read()
+
+
 class RetryingEmbedder:
     """Another embedder with attempts and growing pauses."""
 

@@ -87,9 +87,13 @@ def categorise(events: DataFrame, kind: str = "kind", paths: str = "paths") -> D
 
 
 def sessions(changes: DataFrame, ts: str = "ts", gap: str = "500 milliseconds", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Debounced bursts: events no further apart than ``gap``, with their distinct paths."""
+    """Debounced bursts: events no further apart than ``gap``, with their distinct paths.
+
+    Without ``keys`` all events share one key; streams need it to be a column.
+    """
+    scope = list(keys) or [(F.length("path") >= 0).alias("__all")]
     return (
-        changes.groupBy(F.session_window(ts, gap).alias("w"), *keys)
+        changes.groupBy(F.session_window(ts, gap).alias("w"), *scope)
         .agg(
             F.count(F.lit(1)).alias("n_events"),
             F.array_sort(F.collect_set(F.when(F.col("op") == "touched", F.col("path")))).alias("touched"),

@@ -49,30 +49,41 @@ def saturated(tf: Column, dl: Column, avg: Column) -> Column:
     return tf * (BM25_K1 + 1.0) / (tf + BM25_K1 * (1.0 - BM25_B + BM25_B * dl / avg))
 
 
-def score(docs: DataFrame, fields: list[tuple[Column, float]], terms: Counter, name: str = "bm25") -> DataFrame:
-    """``docs`` with the BM25 of the query's terms; statistics are those of ``docs``."""
-    names = sorted(terms)
-    with_tokens = docs
+def count_terms(docs: DataFrame, fields: list[tuple[Column, float]], terms: Counter) -> DataFrame:
+    """``docs`` with the weighted length and the weighted frequency of each query term: one narrow pass."""
+    out = docs
     for k, (tokens, _) in enumerate(fields):
-        with_tokens = with_tokens.withColumn(f"__f{k}", tokens)
+        out = out.withColumn(f"__f{k}", tokens)
 
     def total(count) -> Column:
         return reduce(lambda a, b: a + b, [F.lit(w) * count(F.col(f"__f{k}")) for k, (_, w) in enumerate(fields)])
 
-    counted = with_tokens.withColumn("__dl", total(F.size)).withColumns(
-        {f"__t{i}": total(lambda c, t=t: F.size(F.filter(c, lambda x: x == t))) for i, t in enumerate(names)}
-    )
-    counted = counted.drop(*[f"__f{k}" for k in range(len(fields))])
+    def times(term: str):
+        return lambda tokens: F.size(F.filter(tokens, lambda x: x == term))
+
+    out = out.withColumn("__dl", total(F.size)).withColumns({f"__t{i}": total(times(t)) for i, t in enumerate(sorted(terms))})
+    return out.drop(*[f"__f{k}" for k in range(len(fields))])
+
+
+def score_counts(counted: DataFrame, terms: Counter, name: str = "bm25") -> DataFrame:
+    """The result of ``count_terms`` with the score, by statistics of all its rows."""
+    names = sorted(terms)
     stats = counted.agg(
         F.count(F.lit(1)).cast("double").alias("__n"),
         F.avg("__dl").alias("__avg"),
         *[F.sum((F.col(f"__t{i}") > 0).cast("double")).alias(f"__df{i}") for i in range(len(names))],
     )
-    one = F.lit(0.0)
+    total = F.lit(0.0)
     for i, t in enumerate(names):
         part = idf(F.col("__n"), F.col(f"__df{i}")) * saturated(F.col(f"__t{i}"), F.col("__dl"), F.col("__avg"))
-        one = one + F.when(F.col(f"__t{i}") > 0, terms[t] * part).otherwise(0.0)
-    return counted.join(F.broadcast(stats)).select(*docs.columns, one.alias(name))
+        total = total + F.when(F.col(f"__t{i}") > 0, terms[t] * part).otherwise(0.0)
+    keep = [c for c in counted.columns if c != "__dl" and not c.startswith("__t")]
+    return counted.join(F.broadcast(stats)).select(*keep, total.alias(name))
+
+
+def score(docs: DataFrame, fields: list[tuple[Column, float]], terms: Counter, name: str = "bm25") -> DataFrame:
+    """``docs`` with the BM25 of the query's terms; statistics are those of ``docs``."""
+    return score_counts(count_terms(docs, fields, terms), terms, name)
 
 
 def postings(docs: DataFrame, key: str, fields: list[tuple[Column, float]]) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
-    ANN_FROM, BINARY_FROM, DEFAULT_LIMIT, DUPLICATE_COSINE, PRF_DOCS, REMOTE_LEAST, REMOTE_OVERSAMPLE, SYMBOL_HIT_BOOST,
+    ANN_FROM, ANN_OVERSAMPLE, BINARY_FROM, BINARY_OVERSAMPLE, DEFAULT_LIMIT, DUPLICATE_COSINE, PRF_DOCS, REMOTE_LEAST, REMOTE_OVERSAMPLE, SYMBOL_HIT_BOOST,
 )
 from ..functions import paths, vectors
-from ..operators import ann, lexical, rank
+from ..operators import lexical, rank
 
 Embed = Callable[[str], list[float]]
 
@@ -41,15 +42,8 @@ def choose(n: int, options: SearchOptions) -> str:
     return "binary" if n >= BINARY_FROM else "ann" if n >= ANN_FROM else "linear"
 
 
-def candidates(chunks: DataFrame, strategy: str, query_vector: list[float], options: SearchOptions) -> DataFrame:
-    q = vectors.literal(query_vector)
-    if strategy == "binary":
-        bits = "bits" if "bits" in chunks.columns else None
-        return ann.hamming_shortlist(chunks, q, options.pool * 10, bits=bits).drop("distance")
-    if strategy == "ann":
-        return ann.oversampled(chunks, q, options.pool).drop("semantic")
-    keep = paths.glob_filter(F.col("path"), options.glob) & paths.metadata_filter(options.filters, F.col("path"), F.col("language"))
-    return chunks.where(keep)
+#: what ranking needs of a chunk; text and vectors are fetched for the few rows that remain
+NARROW = ("id", "path", "language", "start_line")
 
 
 def fields_of(chunks: DataFrame):
@@ -57,28 +51,67 @@ def fields_of(chunks: DataFrame):
     return lexical.boosted_fields(F.col("text"), F.col("path"), symbols)
 
 
-def score_pass(chunks: DataFrame, query: str, query_vector: list[float], strategy: str, options: SearchOptions) -> DataFrame:
-    """Scored candidates: id, bm25 (raw), semantic, score and the chunk's columns.
+@dataclass
+class Lexicon:
+    """Persisted postings and lengths, keyed by ``chunk_idx``."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+def _lexical(chunks: DataFrame, terms, lexicon: Lexicon | None, keep: list[str]) -> DataFrame:
+    """The narrow columns with ``bm25``: from the persisted postings, or by one pass over the texts."""
+    if lexicon is None:
+        counted = lexical.count_terms(chunks, fields_of(chunks), terms)
+        counted = counted.select(*keep, "__dl", *[f"__t{i}" for i in range(len(terms))]).persist(StorageLevel.MEMORY_AND_DISK)
+        return lexical.score_counts(counted, terms)
+    found = lexical.score_postings(lexicon.postings, lexicon.lengths, "chunk_idx", terms)
+    return chunks.select(*keep).join(found, "chunk_idx", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def candidates(scored: DataFrame, strategy: str, options: SearchOptions) -> DataFrame:
+    """The rows of the chosen access path; ``scored`` has semantic and, for binary, distance."""
+    if strategy == "binary":
+        return scored.orderBy("distance", "chunk_idx").limit(options.pool * BINARY_OVERSAMPLE)
+    if strategy == "ann":
+        return scored.orderBy(F.round("semantic", 6).desc(), "chunk_idx").limit(options.pool * ANN_OVERSAMPLE)
+    return scored.where(paths.glob_filter(F.col("path"), options.glob) & paths.metadata_filter(options.filters, F.col("path"), F.col("language")))
+
+
+def score_pass(chunks: DataFrame, query: str, query_vector: list[float], strategy: str, options: SearchOptions, lexicon: Lexicon | None = None) -> DataFrame:
+    """Scored candidates: the narrow columns, chunk_idx, bm25 (raw), semantic and score.
 
     Lexical statistics are those of the whole corpus; the normalisation is that of the candidates.
     """
+    q = vectors.literal(query_vector)
+    rows = chunks.withColumn("semantic", vectors.cosine(F.col("vector"), q))
+    keep = ["chunk_idx", *NARROW, "semantic"]
+    if strategy == "binary":
+        bits = F.col("bits") if "bits" in chunks.columns else vectors.quantise(F.col("vector"))
+        rows, keep = rows.withColumn("distance", vectors.hamming(bits, vectors.quantise(q))), [*keep, "distance"]
     terms = lexical.query_terms(chunks.sparkSession, query)
-    scored = lexical.score(chunks, fields_of(chunks), terms)
-    found = rank.normalise(candidates(scored, strategy, query_vector, options))
-    found = found.withColumn("semantic", vectors.cosine(F.col("vector"), vectors.literal(query_vector)))
-    return found.withColumn("score", rank.fuse(F.col("semantic"), F.col("bm25_norm")))
+    found = rank.normalise(candidates(_lexical(rows, terms, lexicon, keep), strategy, options))
+    return found.withColumn("score", rank.fuse(F.col("semantic"), F.col("bm25_norm"))).drop("distance")
+
+
+def with_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A short result list with the chunks' other columns."""
+    rest = [c for c in chunks.columns if c not in ranked.columns]
+    return chunks.select("chunk_idx", *rest).join(F.broadcast(ranked), "chunk_idx")
 
 
-def search(chunks: DataFrame, query: str, embed: Embed, options: SearchOptions | None = None, n: int | None = None) -> DataFrame:
-    """Ranked chunks for a query.  ``chunks`` has id, path, language, start_line, text, hash and vector."""
+def search(chunks: DataFrame, query: str, embed: Embed, options: SearchOptions | None = None, n: int | None = None, lexicon: Lexicon | None = None) -> DataFrame:
+    """Ranked chunks for a query.  ``chunks`` has chunk_idx, id, path, language, start_line, text, hash and vector."""
     options = options or SearchOptions()
     strategy = choose(chunks.count() if n is None else n, options)
-    first = rank.top(score_pass(chunks, query, embed(query), strategy, options), options.pool)
-    expanded = rank.expand(query, first)
+    # a list of at most ``pool`` rows: it starts both the feedback and the merge
+    first = rank.top(score_pass(chunks, query, embed(query), strategy, options, lexicon), options.pool).persist()
+    expanded = rank.expand(query, rank.top(with_chunks(first, chunks), options.pool))
     merged = first
     if expanded != query:
-        merged = rank.max_merge(first, score_pass(chunks, expanded, embed(expanded), strategy, options))
+        merged = rank.max_merge(first, score_pass(chunks, expanded, embed(expanded), strategy, options, lexicon))
     ranked = rank.top(merged.withColumn("score", F.col("score") * paths.priority(F.col("path"))), options.limit)
+    ranked = with_chunks(ranked, chunks)
     return rank.suppress_near_duplicates(ranked, options.threshold) if options.dedup else ranked
 
 

@@ -17,6 +17,7 @@ from . import queries_sql as sql
 from .functions import paths, text, vectors
 from .operators import ann, chunk, graph, hierarchy, incremental, lexical, rank
 from .plans import planner
+from .streaming import watch
 
 QUERY = sql.QUERY
 FILTERED = planner.SearchOptions(limit=10, glob=["src1/**", "src0/**"], filters=["lang=EN", "path=doc_", "type=function", "loose"])
@@ -122,6 +123,12 @@ def bm25f_fields(spark, sf):
     return _boosted(spark, sf).select("chunk_idx", r6("bm25").alias("score"))
 
 
+@query
+def bm25f_symbols(spark, sf):
+    named = chunks(spark, sf).withColumn("symbols", F.slice(text.tokenize(F.col("text")), 1, 3))
+    return lexical.score(named, planner.fields_of(named), lexical.query_terms(spark, QUERY)).select("chunk_idx", r6("bm25").alias("score"))
+
+
 @query
 def bm25f_topk(spark, sf):
     return rank.top(_boosted(spark, sf).where("bm25 > 0"), 10, "bm25", ("chunk_idx",)).select("chunk_idx", r6("bm25").alias("score"))
@@ -262,7 +269,9 @@ def strategy_pick(spark, sf):
 
 def _first_pass(spark, sf):
     q = query_vector(spark, sf)
-    return rank.top(planner.score_pass(indexed(spark, sf), QUERY, q, "linear", planner.SearchOptions()), 10)
+    chunks_ = indexed(spark, sf)
+    best = rank.top(planner.score_pass(chunks_, QUERY, q, "linear", planner.SearchOptions()), 10)
+    return rank.top(planner.with_chunks(best, chunks_), 10)
 
 
 @query
@@ -280,7 +289,7 @@ def prf_two_pass(spark, sf):
     q = query_vector(spark, sf)
     first = _first_pass(spark, sf)
     second = planner.score_pass(indexed(spark, sf), rank.expand(QUERY, first), q, "linear", planner.SearchOptions())
-    return rank.max_merge(first, second).select("chunk_idx", r6("score").alias("score"))
+    return rank.max_merge(first.select(*second.columns), second).select("chunk_idx", r6("score").alias("score"))
 
 
 @query
@@ -507,9 +516,13 @@ def apply_changes(spark, sf):
 
 def _events(spark, sf):
     """events as notifications over two paths each."""
+    return _notifications(table(spark, sf, "events"))
+
+
+def _notifications(rows):
     kind = F.get(F.array(*[F.lit(k) for k in sql.KINDS]), (F.col("event_id") % len(sql.KINDS)).cast("int"))
     path = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    return table(spark, sf, "events").select("event_id", F.col("ts"), kind.alias("kind"), F.array(path, F.concat(path, F.lit("/x"))).alias("paths"))
+    return rows.select("event_id", F.col("ts"), kind.alias("kind"), F.array(path, F.concat(path, F.lit("/x"))).alias("paths"))
 
 
 @query
@@ -537,6 +550,15 @@ def last_change(spark, sf):
     return incremental.last_event(incremental.categorise(_events(spark, sf)), order="event_id").select("path", "op", "event_id")
 
 
+@query
+def stream_sessions(spark, sf):
+    """The debounced sessions of the event stream that a watermark has closed."""
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    rows = _notifications(stream).withColumn("ts", F.col("ts").cast("timestamp"))
+    closed = incremental.sessions(incremental.categorise(rows).withWatermark("ts", "10 seconds"), gap="5 minutes")
+    return watch.settled(closed.select(F.unix_micros("started").alias("started_us"), F.col("n_events").cast("long"), F.size("touched").cast("long").alias("n_touched")))
+
+
 # --- remote --------------------------------------------------------------------------
 
 

@@ -58,6 +58,14 @@ def boosted(name: str, corpus: str, query: str) -> str:
     return _bm25(name, corpus, f"select chunk_idx, {stem('t')} as term, w from ({post})", f"select {stem('t')} as term from (select unnest({tok(query)}) as t)")
 
 
+def with_symbols(name: str, corpus: str, query: str) -> str:
+    """``boosted`` with the first three tokens of the text as symbols."""
+    parts = [("text", "1.0"), ("path", "1.0"), (file_stem("path"), "2.0")]
+    post = " union all ".join(f"select chunk_idx, unnest({tok(x)}) as t, {w} as w from {corpus}" for x, w in parts)
+    post += f" union all select chunk_idx, unnest({tok('text')}[1:3]) as t, 2.0 as w from {corpus}"
+    return _bm25(name, corpus, f"select chunk_idx, {stem('t')} as term, w from ({post})", f"select {stem('t')} as term from (select unnest({tok(query)}) as t)")
+
+
 def _bm25(name: str, corpus: str, weighted: str, query: str) -> str:
     return f"""
 {name}_p as (select chunk_idx, term, sum(w) as tf from ({weighted}) group by all),
@@ -85,6 +93,7 @@ _P, _B = f"with {CH}, {plain('m', 'ch')}", f"with {CH}, {boosted('m', 'ch', quot
 add("bm25_plain", f"{_P} select chunk_idx, round(bm25, 6) as score from m where bm25 > 0")
 add("bm25_topk", f"{_P} select chunk_idx, round(bm25, 6) as score from m where bm25 > 0 order by score desc, chunk_idx limit 10")
 add("bm25f_fields", f"{_B} select chunk_idx, round(bm25, 6) as score from m")
+add("bm25f_symbols", f"with {CH}, {with_symbols('m', 'ch', quote(QUERY))} select chunk_idx, round(bm25, 6) as score from m")
 add("bm25f_topk", f"{_B} select chunk_idx, round(bm25, 6) as score from m where bm25 > 0 order by score desc, chunk_idx limit 10")
 add("bm25f_postings", f"{_B} select chunk_idx, round(bm25, 6) as score from m where bm25 > 0")
 add("bm25_norm", f"{_P}, r as (select min(bm25) as lo, max(bm25) as hi from m) select chunk_idx, round(case when hi - lo < 1.1920929e-07 then 0.5 else (bm25 - lo) / (hi - lo) end, 6) as score from m, r")
@@ -260,6 +269,8 @@ _SE = """se as (select *, sum(fresh) over (order by ts, event_id, path rows unbo
 add("event_categorize", f"with {_EV} select event_id, path, op from cg")
 add("debounce_sessions", f"with {_EV}, {_SE} select epoch_us(min(ts)) as started_us, count(*) as n_events from se group by s")
 add("dirty_sets", f"with {_EV}, {_SE} select epoch_us(min(ts)) as started_us, count(distinct path) filter (op = 'touched') as n_touched, count(distinct path) filter (op = 'deleted') as n_deleted, coalesce(string_agg(distinct path, ',' order by path) filter (op = 'deleted'), '') as deleted from se group by s")
+add("stream_sessions", f"""with {_EV}, {_SE} select epoch_us(min(ts)) as started_us, count(*) as n_events, count(distinct path) filter (op = 'touched') as n_touched from se
+group by s having max(ts) + interval 5 minutes <= (select max(ts) from cg) - interval 10 seconds""")
 add("last_change", f"with {_EV} select path, op, event_id from (select *, row_number() over (partition by path order by ts desc, event_id desc) as k from cg) where k = 1")
 
 add("remote_rank", f"""with {CH}, {IX}, hs as (select *, list_cosine_similarity(cast(vector as double[]), cast({QV} as double[])) as semantic from ix), hits as (select * from hs order by round(semantic, 6) desc, chunk_idx limit 40),

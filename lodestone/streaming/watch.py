@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +61,16 @@ def run(events: DataFrame, apply: Callable[[DataFrame], object], checkpoint: str
     return writer.start()
 
 
+def settled(stream: DataFrame) -> DataFrame:
+    """Run an append-mode stream over all that is there now, and read what it wrote."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestone-streams"
+    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def stop(query: StreamingQuery, wait_s: float = 60.0) -> None:
     """End after the batch in flight."""
     if query.status["isTriggerActive"]:
