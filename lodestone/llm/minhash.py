@@ -8,10 +8,12 @@ sets first fall into one class.  In each bucket one centre, the member with the
 most collisions, is compared with every other member; the full sets confirm a
 link.  That gives as many pairs as members, not their square.
 
-A star loses links only between two members that are not yet connected, so rounds
-follow: in each bucket that still spans several components, members outside its
-largest component become centres as well, ever more of them a round, until every
-such member has been compared with all of the bucket.  No bucket is capped.
+A star loses links only between two members that are not yet connected.  Documents
+of buckets that still span several components are therefore joined once more, by an
+exact prefix filter: with shingles in order of rarity, two similar sets share one
+among the first fifth of each, and its places bound their overlap.  The join's
+condition also asks for different components, so that pairs of a group that is
+connected already, or that differ too much, never become rows.  No bucket is capped.
 
 Defined results: rows with a null id are linked with nothing, get a null class
 and are kept; a null or empty text has no shingles and is linked with nothing;
@@ -123,7 +125,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", first_centres: int = 16) -> DataFrame:
+def _cross(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (c, m) of ``docs(rep, n, own)`` with different ``own`` whose sets may be alike enough: none is missed."""
+    items = docs.join(sets, F.col("rep") == F.col("doc_id")).select("rep", "own", "n", F.explode("items").alias("item"))
+    rarity = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    ordered = items.join(rarity, "item").groupBy("rep", "own", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("o"))
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    heads = cut(ordered.select("rep", "own", "n", F.posexplode(F.slice("o", F.lit(1), reach.cast("int"))).alias("at", "x")).select("rep", "own", "n", "at", "x.item"), "prefixes")
+    a, b = (heads.select(*[F.col(c).alias(f"{side}_{c}") for c in heads.columns]) for side in ("a", "b"))
+    near = (
+        (F.col("a_item") == F.col("b_item"))
+        & (F.col("a_own") != F.col("b_own"))
+        & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_rep") < F.col("b_rep"))))
+        & (100 * F.col("a_n") >= percent * F.col("b_n"))
+        & ((100 + percent) * F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= percent * (F.col("a_n") + F.col("b_n")))
+    )
+    return a.join(b, near).select(F.col("a_rep").alias("c"), F.col("b_rep").alias("m")).distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = src.schema["doc_id"].dataType
@@ -153,35 +173,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         "sets",
     )
 
-    links: DataFrame | None = None
-    label: DataFrame | None = None
-    todo, centres = members, members.groupBy("band").agg(best.alias("c"))
-    budget = first_centres
-    while True:
-        centres = cut(centres.join(classes.select(F.col("rep").alias("c"), F.col("n").alias("cn")), "c"), "centres")
-        close = (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")) & (F.col("c") != F.col("rep"))
-        pairs = todo.join(centres if label is None else centres.join(label.select(F.col("node").alias("c"), F.col("label").alias("cl")), "c", "left"), "band").where(close)
-        if label is not None:
-            pairs = pairs.where(F.coalesce("cl", "c") != F.col("own"))
-        pairs = pairs.select(F.least("c", "rep").alias("x"), F.greatest("c", "rep").alias("y"), "c", F.col("rep").alias("m")).dropDuplicates(["x", "y"]).select("c", "m")
-        new = _verified(pairs, sets, percent)
-        links = cut(new if links is None else links.unionByName(new), "links")
-        label = components(links)
-        left = todo.drop("own").join(centres.select("band", F.col("c").alias("rep")), ["band", "rep"], "left_anti")
-        left = left.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("own", F.coalesce("label", "rep")).drop("label")
-        sizes = left.groupBy("band", "own").agg(F.count(F.lit(1)).alias("k"))
-        most = sizes.groupBy("band").agg(F.max_by("own", F.struct("k", "own")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        todo = cut(left.join(most.select("band", "main"), "band"), "open")
-        centres = (
-            todo.where(F.col("own") != F.col("main"))
-            .groupBy("band", F.pmod(F.xxhash64("rep"), F.lit(budget)).alias("slot"))
-            .agg(best.alias("c"))
-            .drop("slot")
-        )
-        todo = todo.drop("main")
-        if todo.isEmpty():
-            break
-        budget *= 8
+    centres = members.groupBy("band").agg(best.alias("c")).join(classes.select(F.col("rep").alias("c"), F.col("n").alias("cn")), "c")
+    close = (F.col("c") != F.col("rep")) & (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
+    stars = members.join(centres, "band").where(close).select("c", F.col("rep").alias("m")).distinct()
+    links = cut(_verified(stars, sets, percent), "links")
+    label = cut(components(links), "labels")
+
+    owned = members.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("own"))
+    split = owned.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("band")
+    loose = cut(owned.join(split, "band").select("rep", "n", "own").distinct(), "open")
+    late = cut(_verified(_cross(loose, sets, percent), sets, percent), "late-links")
+    if not late.isEmpty():
+        label = cut(components(links.unionByName(late)), "labels")
 
     of_class = classes.select("k1", "k2", "n", "rep").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left")
     of_class = of_class.select("k1", "k2", "n", F.coalesce("label", "rep").alias("class"))
