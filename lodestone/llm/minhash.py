@@ -17,7 +17,8 @@ connected already, or that differ too much, never become rows.  No bucket is cap
 
 Defined results: rows with a null id are linked with nothing, get a null class
 and are kept; a null or empty text has no shingles and is linked with nothing;
-rows that repeat an id and text share its class; an empty table gives an empty
+rows that repeat an id and text share its class, and of an id with several texts
+the one of least set hash stands for its links; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -107,8 +108,9 @@ def _sign(width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in at.slices(batches):
-            sets = [s.view(np.int64) for s in shingles(data, offsets, width)]
-            yield pa.record_batch([rows.column("doc_id"), at.list_column(sets, pa.int64())], names=["doc_id", "items"])
+            sets = shingles(data, offsets, width)
+            key = np.array([at.mix(s + _MULT[30]).sum(dtype=U) for s in sets], U).view(np.int64)
+            yield pa.record_batch([rows.column("doc_id"), pa.array(key), at.list_column([s.view(np.int64) for s in sets], pa.int64())], names=["doc_id", "key", "items"])
 
     return run
 
@@ -169,7 +171,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     once = src.join(wanted, "doc_id", "left_semi")
     sets = cut(
-        once.mapInArrow(_sets(width), T.StructType([T.StructField("doc_id", id_type), T.StructField("items", T.ArrayType(T.LongType()))])).dropDuplicates(["doc_id"]),
+        once.mapInArrow(_sets(width), T.StructType([T.StructField("doc_id", id_type), T.StructField("key", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))]))
+        .groupBy("doc_id")
+        .agg(F.min_by("items", "key").alias("items")),
         "sets",
     )
 
