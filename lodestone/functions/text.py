@@ -54,8 +54,7 @@ def estimate_tokens(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their ends; a last empty line does not count."""
-    parts = F.split(text, r"\r?\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, r"\r?\n", -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def truncate_bytes(text: Column, limit: int) -> Column:
@@ -74,17 +73,26 @@ def truncate_ellipsis(text: Column, limit: int) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(truncate_bytes(text, limit - 3), F.lit("…")))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def snippet(text: Column, full: bool = False, limit: int = 12) -> Column:
     """The text after its header comment block; its first lines unless ``full``."""
-    ls = lines(text)
-    n = F.size(ls)
-    first = F.when(F.startswith(F.element_at(ls, 1), F.lit("// File:")), 1).otherwise(0)
-    blank = F.array_position(F.transform(F.slice(ls, first + 1, F.greatest(n - first, F.lit(0))), lambda x: F.trim(x) == ""), F.lit(True))
-    at = F.when(blank > 0, first + blank).otherwise(first).cast("int")
-    at = F.when(F.startswith(F.coalesce(F.try_element_at(ls, at + 1), F.lit("")), F.lit("// Context:")), at + 1).otherwise(at)
-    at = F.when((n == 0) | (at >= n), 0).otherwise(at)
-    rest = F.slice(ls, at + 1, F.greatest(n - at, F.lit(0)))
-    if full:
-        skipped = F.aggregate(F.slice(ls, F.lit(1), at), F.lit(0), lambda a, x: a + F.length(x) + 1)
-        return F.substring(text, skipped + 1, F.lit(2147483647))
-    return F.array_join(F.slice(rest, 1, limit), "\n")
+
+    def start(ls: Column) -> Column:
+        """Lines to skip: the file line, up to the first blank line, and a context line."""
+        n = F.size(ls)
+        first = F.when(F.startswith(F.element_at(ls, 1), F.lit("// File:")), 1).otherwise(0)
+        after = F.slice(ls, first + 1, F.greatest(n - first, F.lit(0)))
+        to_blank = let(F.array_position(F.transform(after, lambda x: F.trim(x) == ""), F.lit(True)), lambda p: F.when(p > 0, first + p).otherwise(first).cast("int"))
+        context = let(to_blank, lambda at: F.when(F.startswith(F.coalesce(F.get(ls, at), F.lit("")), F.lit("// Context:")), at + 1).otherwise(at))
+        return let(context, lambda at: F.when((n == 0) | (at >= n), 0).otherwise(at))
+
+    def shown(ls: Column) -> Column:
+        if full:
+            return let(start(ls), lambda at: F.substring(text, F.aggregate(F.slice(ls, F.lit(1), at), F.lit(1), lambda a, x: a + F.length(x) + 1), F.lit(2147483647)))
+        return let(start(ls), lambda at: F.array_join(F.slice(ls, at + 1, F.lit(limit)), "\n"))
+
+    return let(lines(text), shown)
