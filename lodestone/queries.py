@@ -194,7 +194,7 @@ def ann_oversample(spark, sf):
 
 @query
 def l2_norm(spark, sf):
-    scaled = F.transform("vector", lambda x: x * 3)
+    scaled = F.transform("vector", lambda x: x.cast("double") * 3)
     return vecs(spark, sf).withColumn("u", vectors.l2_normalise(scaled)).select("chunk_idx", r6(vectors.norm(F.col("u"))).alias("norm"), r6(F.element_at("u", 1)).alias("first"))
 
 

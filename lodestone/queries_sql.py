@@ -110,7 +110,7 @@ _HAM = f"list_sum(list_transform(list_zip(embedding, {QV}), lambda p: case when
 add("hamming_topk", f"select vec_id as chunk_idx, cast({_HAM} as bigint) as distance from embeddings order by distance, chunk_idx limit 20")
 add("two_phase_topk", f"with s as (select * from embeddings order by {_HAM}, vec_id limit 100) select vec_id as chunk_idx, round({_COS}, 6) as score from s order by score desc, chunk_idx limit 10")
 add("l2_norm", """select vec_id as chunk_idx, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) as norm, round(u[1], 6) as first from (
-  select vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u from (select vec_id, list_transform(cast(embedding as double[]), lambda x: cast(cast(x as float) * 3 as double)) as v from embeddings))""")
+  select vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u from (select vec_id, list_transform(cast(embedding as double[]), lambda x: x * 3) as v from embeddings))""")
 add("dim_truncate", "select vec_id as chunk_idx, cast(16 as bigint) as dim, round(sqrt(list_sum(list_transform(cast(embedding[1:16] as double[]), lambda x: x * x))), 6) as norm from embeddings")
 
 _FILES = """fr as (select 'dir' || (label % 3) || '/f' || label as path, cast(embedding as double[]) as v from embeddings),
