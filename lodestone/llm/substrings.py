@@ -5,15 +5,17 @@ A text is cut into units: sentences, and, within a sentence of more than
 the same passage is cut alike wherever it stands.  From every unit starts one
 span: the shortest run of at least ``min_units`` units with at least
 ``min_words`` words.  All spans are hashed and joined over the corpus; each
-occurrence but the first (least doc_id, then text hash, then offset) is removed.
+occurrence but the first (least doc_id, then least offset) is removed.
 
-Occurrences are counted by a pre-combined aggregate and joined back, so a span
-that every document has moves as rows, never as one group.
+A span that a document holds before is marked where the document is read.  Between
+documents a pre-combined least and greatest id per span decide, joined back to the
+occurrences, so a span that every document has moves as rows, never as one group.
 
-Defined results: a null text stays null and has no spans; a null id sorts before
-others; rows that repeat an id and a text count as one row and are cut alike; a
-text with fewer units or words than a span needs is left as it is; an empty
-table gives an empty result; other columns are carried through.
+Defined results: a null text stays null and has no spans; rows that repeat an id
+count as one document (equal spans of theirs are kept); a null id sorts after all
+others, and rows without id do not count against one another; a text with fewer
+units or words than a span needs is left as it is; an empty table gives an empty
+result; other columns are carried through.
 """
 
 from __future__ import annotations
@@ -84,12 +86,18 @@ def _emit(min_units: int, min_words: int, long_words: int, chunk: int = 256):
         for batch in batches:
             for at in range(0, batch.num_rows, chunk):
                 part = batch.slice(at, chunk)
-                found = [spans(t.as_py() or "", min_units, min_words, long_words) for t in part.column("__text")]
-                flat = np.array([s for f in found for s in f], np.int64).reshape(-1, 3)
-                rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                flat, held = [], []
+                for r, t in enumerate(part.column("__text")):
+                    seen: set[int] = set()
+                    for h, start, stop in spans(t.as_py() or "", min_units, min_words, long_words):
+                        held.append(r)
+                        flat.append((h, start << 32 | stop, h in seen))
+                        seen.add(h)
+                cols = np.array(flat, np.int64).reshape(-1, 3)
+                rows = pa.array(held, pa.int64())
                 yield pa.record_batch(
-                    [pa.array(flat[:, 0]), part.column("__id").take(rows), part.column("__th").take(rows), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2].astype(np.int32))],
-                    names=["h", "__id", "__th", "start", "stop"],
+                    [pa.array(cols[:, 0]), part.column("__id").take(rows), part.column("__th").take(rows), pa.array(cols[:, 1]), pa.array(cols[:, 2] != 0)],
+                    names=["h", "__id", "__th", "at", "again"],
                 )
 
     return run
@@ -98,14 +106,17 @@ def _emit(min_units: int, min_words: int, long_words: int, chunk: int = 256):
 def repeated(docs: DataFrame, min_units: int = 2, min_words: int = 20, long_words: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(__id, __th, __cut): the ranges of each (id, text hash) that an earlier span holds already."""
     src = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__th"), F.col(text).alias("__text"))
-    schema = T.StructType(
-        [T.StructField("h", T.LongType()), src.schema["__id"], T.StructField("__th", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]
-    )
+    i64 = T.LongType()
+    schema = T.StructType([T.StructField("h", i64), src.schema["__id"], T.StructField("__th", i64), T.StructField("at", i64), T.StructField("again", T.BooleanType())])
     occ = cut(src.mapInArrow(_emit(min_units, min_words, long_words), schema), "spans")
-    place = F.struct("__id", "__th", "start")
-    many = occ.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
-    later = occ.join(many, "h").where(~place.eqNullSafe(F.col("first"))).select("__id", "__th", "start", "stop")
-    return later.groupBy("__id", "__th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__cut"))
+    heads = occ.where("not again")
+    low = F.min("__id").alias("first")
+    # a span that only rows without id share with one that has an id counts as well
+    many = heads.groupBy("h").agg(low, F.max("__id").alias("last"), F.bool_or(F.col("__id").isNull()).alias("some")).where("first <> last or (some and first is not null)").select("h", "first")
+    later = heads.join(many, "h").where(~F.col("__id").eqNullSafe(F.col("first"))).select("__id", "__th", "at")
+    later = later.unionByName(occ.where("again").select("__id", "__th", "at"))
+    span = F.struct(F.shiftright("at", 32).cast("int").alias("start"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("stop"))
+    return later.groupBy("__id", "__th").agg(F.array_sort(F.collect_set(span)).alias("__cut"))
 
 
 def remove_repeated(docs: DataFrame, min_units: int = 2, min_words: int = 20, long_words: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
