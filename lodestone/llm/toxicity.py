@@ -113,17 +113,24 @@ def fit(texts: list[str], toxic: np.ndarray, n_features: int = 800, folds: int =
     y = np.asarray(toxic, float)
     if len(y) < 2 or y.min() == y.max():
         return Chain(weights=[], threshold=1.1)
-    hits, total = {}, {}
-    sets = [features(t) for t in texts]
-    for s, label in zip(sets, y, strict=True):
-        for f in s:
+    # two passes over the texts: the features of one text at a time are held
+    hits: dict[str, int] = {}
+    total: dict[str, int] = {}
+    seeded = {name: np.zeros(len(y)) for name in SEEDS}
+    for r, (text, label) in enumerate(zip(texts, y, strict=True)):
+        found = features(text)
+        for f in found:
             total[f] = total.get(f, 0) + 1
-            if label:
+        if label:
+            for f in found:
                 hits[f] = hits.get(f, 0) + 1
+            for name, words in SEEDS.items():
+                seeded[name][r] = not found.isdisjoint(words.split())
     n, pos = len(y), y.sum()
     scored = []
-    for f, t in total.items():
-        if t < 3 or f not in hits:
+    for f in hits:
+        t = total[f]
+        if t < 3:
             continue
         p, q = (hits.get(f, 0) + 0.5) / (pos + 1), (t - hits.get(f, 0) + 0.5) / (n - pos + 1)
         if p <= q:
@@ -134,15 +141,16 @@ def fit(texts: list[str], toxic: np.ndarray, n_features: int = 800, folds: int =
     chosen = scored[:n_features]
     model = Chain(index={f: i for i, (_, f, _) in enumerate(chosen)}, scale=np.array([r for *_, r in chosen]))
     x = np.zeros((n, len(chosen)), np.float32)
-    for r, s in enumerate(sets):
-        for f in s:
+    del total, hits
+    for r, text in enumerate(texts):
+        for f in features(text):
             c = model.index.get(f)
             if c is not None:
                 x[r, c] = model.scale[c]
     fold = np.arange(n) % folds
     probs = np.zeros((n, 0))
     for name in CHAIN:
-        target = y if name == "toxic" else np.array([float(label and bool(s & set(SEEDS[name].split()))) for s, label in zip(sets, y, strict=True)])
+        target = y if name == "toxic" else seeded[name]
         inputs = np.hstack([x, probs.astype(np.float32)])
         if min(target.sum(), n - target.sum()) < least and name != "toxic":
             rate = (target.sum() + 0.5) / (n + 1)
