@@ -36,6 +36,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a result of ``cut`` that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def matches(text: Column, pattern: str, kind: str, order: int, group: int = 0) -> Column:
     """All leftmost non-overlapping matches of ``pattern`` as an array of
     struct(start, k, end, kind, value); offsets are code points, end exclusive.

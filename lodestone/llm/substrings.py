@@ -1,104 +1,145 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into units: sentences, and, within a sentence of more than
-``long_words`` words, stretches that end at words chosen by their hash, so that
-the same passage is cut alike wherever it stands.  From every unit starts one
+A text is cut into units after every sentence end, and after each word that is
+the least of some ``long_words // 2`` consecutive ones by hash (a sentence end comes
+before all others, then the leftmost).  So no unit has more words than that, and
+whether a cut stands after a word depends on no word further away.  From every unit starts one
 span: the shortest run of at least ``min_units`` units with at least
-``min_words`` words.  All spans are hashed and joined over the corpus; each
-occurrence but the first (least doc_id, then least offset) is removed.
+``min_words`` words; where none ends with the text, the shortest such run that does is
+one more, so that a whole copy goes to its last word.  All spans are hashed and joined over the corpus; each
+occurrence but the first (least doc_id, then least text hash and offset) is removed.
+
+With the defaults, any 50 consecutive words hold a whole span that is cut alike wherever
+they stand: the cuts after words 8 to 43 depend on these 50 words alone, one is among
+words 8 to 15, and the span that starts behind it ends 27 words later at most.
 
 A span that a document holds before is marked where the document is read.  Between
-documents a pre-combined least and greatest id per span decide, joined back to the
-occurrences, so a span that every document has moves as rows, never as one group.
-
-Defined results: a null text stays null and has no spans; rows that repeat an id
-count as one document (equal spans of theirs are kept); a null id sorts after all
-others, and rows without id do not count against one another; a text with fewer
-units or words than a span needs is left as it is; an empty table gives an empty
-result; other columns are carried through.
+documents, the least and greatest hash of id and text per span, pre-combined, tell the
+spans that several hold; only their occurrences are compared by id and text, so a span
+that every document has moves as rows, never as one group.
+
+Defined results: words are what whitespace separates, lower-cased; what has no letter or
+digit is no word and belongs to the word before it; a null text stays null and has no
+spans; rows that share both id and text count as one document (equal spans of theirs are
+kept), as do rows without id that share the text; a null id sorts after all others; texts
+of one id count against one another by their hash; a text with fewer units or words than a
+span needs is left as it is; an empty table gives an empty result; other columns are
+carried through.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
-
-_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+$")
-_WORD = re.compile(r"\S+\s*")
-_MASK = (1 << 64) - 1
-
-
-def units(text: str, long_words: int = 16) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, hash) of each unit; together they cover the text from its first word on."""
-    out: list[tuple[int, int, int, int]] = []
-
-    def add(start: int, end: int, words: list[str]) -> None:
-        out.append((start, end, len(words), xxhash.xxh3_64_intdigest(" ".join(words))))
-
-    for m in _SENTENCE.finditer(text):
-        words = m.group().lower().split()
-        if not any(c.isalnum() for w in words for c in w):
-            if out:
-                out[-1] = (out[-1][0], m.end(), *out[-1][2:])
-            continue
-        if len(words) <= long_words:
-            add(m.start(), m.end(), words)
-            continue
-        at, held = m.start(), []
-        for w in _WORD.finditer(text, m.start() + len(m.group()) - len(m.group().lstrip()), m.end()):
-            word = w.group().strip().lower()
-            held.append(word)
-            if zlib.crc32(word.encode()) % 8 == 0:
-                add(at, w.end(), held)
-                at, held = w.end(), []
-        if held:
-            add(at, m.end(), held)
-    return out
+from . import arrowtext as at
+from .common import cut, discard
+
+U = np.uint64
+_CODES = at.byte_codes(fold=False)
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_END = np.zeros(256, bool)
+_END[list(b".!?\n")] = True
+#: whitespace beyond that of arrowtext, one character for one
+_BLANK = "[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def folded(text: pa.Array) -> pa.Array:
+    """Lower case and plain blanks; every character stays one character."""
+    return pc.replace_substring_regex(pc.utf8_lower(text.cast(pa.large_string())), pattern=_BLANK, replacement=" ")
+
+
+def _units(data: np.ndarray, offsets: np.ndarray, long_words: int) -> tuple[np.ndarray, ...]:
+    """Of the rows' folded bytes: row, first word, last word, start and end character of each unit; each word's hash."""
+    starts, ends, _ = at.words(data, offsets)
+    marks = np.concatenate([[0], np.cumsum(_ALNUM[data])])
+    real = marks[ends] > marks[starts]
+    starts, ends = starts[real], ends[real]
+    n = len(starts)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none, np.zeros(0, U)
+    h = at.word_hashes(data, starts, ends, _CODES)
+    row = np.searchsorted(offsets, starts, "right") - 1
+    last = np.append(row[1:] != row[:-1], True)
+    stops = np.where(last, offsets[row + 1], np.append(starts[1:], 0))
+    tail = np.maximum.accumulate(np.where(_ALNUM[data], np.arange(len(data)), 0))[stops - 1] + 1
+    breaks = np.concatenate([[0], np.cumsum(_END[data])])
+    close = breaks[stops] > breaks[tail]
+    width = max(1, long_words // 2)
+    chosen = close | last
+    if n >= width:
+        key = np.where(close, U(0), U(1) << U(63)) | (h >> U(1))
+        least = np.lib.stride_tricks.sliding_window_view(key, width).argmin(axis=1) + np.arange(n - width + 1)
+        chosen[least[row[: n - width + 1] == row[width - 1 :]]] = True
+    to = np.flatnonzero(chosen)
+    first = np.append(0, to[:-1] + 1)
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    base = chars[offsets[row[to]]]
+    return row[to], first, to, chars[starts[first]] - base, chars[stops[to]] - base, h
+
+
+def _spans(data: np.ndarray, offsets: np.ndarray, min_units: int, min_words: int, long_words: int) -> tuple[np.ndarray, ...]:
+    """Of the rows' folded bytes: row, hash, start and end of the span that starts at each unit, where there is one, and of those at the rows' ends."""
+    row, first, to, start, end, h = _units(data, offsets, long_words)
+    n = len(row)
+    j = np.maximum(np.searchsorted(to, first + min_words - 1), np.arange(n) + max(1, min_units) - 1)
+    i = np.flatnonzero(j < n)
+    i = i[row[j[i]] == row[i]]
+    final = np.flatnonzero(np.append(row[1:] != row[:-1], True)) if n else i
+    k = np.minimum(np.searchsorted(first, to[final] - min_words + 1, "right"), final - max(1, min_units) + 2) - 1
+    short = (k >= 0) & (row[k] == row[final]) & (j[k] < final)
+    i, j = np.concatenate([i, k[short]]), np.concatenate([j[i], final[short]])
+    size = to[j] - first[i] + 1
+    longest = int(size.max(initial=0))
+    mult = at.mix(np.arange(1, longest + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+    total = size.astype(U)
+    for k in range(longest):
+        if k < min_words and k < size.min():
+            total += h[first[i] + k] * mult[k]
+        else:
+            more = np.flatnonzero(size > k)
+            total[more] += h[first[i[more]] + k] * mult[k]
+    return row[i], at.mix(total).view(np.int64), start[i], end[j]
+
+
+def _bytes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(folded(pa.array([text]))[0].as_py().encode(), np.uint8)
+    return data, np.array([0, len(data)])
+
+
+def units(text: str, long_words: int = 16) -> list[tuple[int, int, int]]:
+    """(start, end, words) of each unit; together they cover the text from its first word on."""
+    _, first, to, start, end, _ = _units(*_bytes(text), long_words)
+    return list(zip(start.tolist(), end.tolist(), (to - first + 1).tolist(), strict=True))
 
 
 def spans(text: str, min_units: int = 2, min_words: int = 20, long_words: int = 16) -> list[tuple[int, int, int]]:
-    """(hash, start, end) of the span that starts at each unit, where there is one."""
-    found, cuts = [], units(text, long_words)
-    for i in range(len(cuts)):
-        words, h = 0, 0
-        for j in range(i, len(cuts)):
-            words += cuts[j][2]
-            h = (h * 0x9E3779B97F4A7C15 + cuts[j][3] + 1) & _MASK
-            if j - i + 1 >= min_units and words >= min_words:
-                h ^= h >> 29
-                found.append((h - (1 << 64) if h >> 63 else h, cuts[i][0], cuts[j][1]))
-                break
-    return found
-
-
-def _emit(min_units: int, min_words: int, long_words: int, chunk: int = 256):
+    """(hash, start, end) of the spans of one text."""
+    _, h, start, end = _spans(*_bytes(text), min_units, min_words, long_words)
+    return list(zip(h.tolist(), start.tolist(), end.tolist(), strict=True))
+
+
+def _emit(min_units: int, min_words: int, long_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, chunk):
-                part = batch.slice(at, chunk)
-                flat, held = [], []
-                for r, t in enumerate(part.column("__text")):
-                    seen: set[int] = set()
-                    for h, start, stop in spans(t.as_py() or "", min_units, min_words, long_words):
-                        held.append(r)
-                        flat.append((h, start << 32 | stop, h in seen))
-                        seen.add(h)
-                cols = np.array(flat, np.int64).reshape(-1, 3)
-                rows = pa.array(held, pa.int64())
-                yield pa.record_batch(
-                    [pa.array(cols[:, 0]), part.column("__id").take(rows), part.column("__th").take(rows), pa.array(cols[:, 1]), pa.array(cols[:, 2] != 0)],
-                    names=["h", "__id", "__th", "at", "again"],
-                )
+        plain = (pa.record_batch([b.column("__id"), b.column("__th"), folded(b.column("__text"))], names=["__id", "__th", "__text"]) for b in batches)
+        for part, data, offsets in at.slices(plain, "__text"):
+            row, h, start, end = _spans(data, offsets, min_units, min_words, long_words)
+            order = np.lexsort((h, row))
+            again = np.zeros(len(h), bool)
+            again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+            rows = pa.array(row, pa.int64())
+            yield pa.record_batch(
+                [pa.array(h), part.column("__id").take(rows), part.column("__th").take(rows), pa.array(start << 32 | end), pa.array(again)],
+                names=["h", "__id", "__th", "at", "again"],
+            )
 
     return run
 
@@ -109,14 +150,16 @@ def repeated(docs: DataFrame, min_units: int = 2, min_words: int = 20, long_word
     i64 = T.LongType()
     schema = T.StructType([T.StructField("h", i64), src.schema["__id"], T.StructField("__th", i64), T.StructField("at", i64), T.StructField("again", T.BooleanType())])
     occ = cut(src.mapInArrow(_emit(min_units, min_words, long_words), schema), "spans")
-    heads = occ.where("not again")
+    heads = occ.where("not again").select("h", "__id", "__th", "at")
     low = F.min("__id").alias("first")
     # a span that only rows without id share with one that has an id counts as well
     many = heads.groupBy("h").agg(low, F.max("__id").alias("last"), F.bool_or(F.col("__id").isNull()).alias("some")).where("first <> last or (some and first is not null)").select("h", "first")
     later = heads.join(many, "h").where(~F.col("__id").eqNullSafe(F.col("first"))).select("__id", "__th", "at")
     later = later.unionByName(occ.where("again").select("__id", "__th", "at"))
     span = F.struct(F.shiftright("at", 32).cast("int").alias("start"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("stop"))
-    return later.groupBy("__id", "__th").agg(F.array_sort(F.collect_set(span)).alias("__cut"))
+    ranges = cut(later.groupBy("__id", "__th").agg(F.array_sort(F.collect_set(span)).alias("__cut")), "ranges")
+    discard(occ)
+    return ranges
 
 
 def remove_repeated(docs: DataFrame, min_units: int = 2, min_words: int = 20, long_words: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicates, substring dedup and decontamination against brute force."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -160,6 +161,47 @@ def test_substring_edge_cases(spark):
         assert t.endswith(covered) and not any(c.isalnum() for c in t[: len(t) - len(covered)])
 
 
+def held_before(rows, n):
+    """(id, first word) of each run of n words that an earlier document holds, by plain windows."""
+    first, runs = {}, []
+    for i, t in sorted(rows):
+        w = t.lower().split()
+        for a in range(len(w) - n + 1):
+            if first.setdefault(tuple(w[a : a + n]), i) != i:
+                runs.append((i, a))
+    return runs
+
+
+def left_whole(rows, out, n=51):
+    """The runs of ``held_before`` of which the cut text still has every word."""
+    texts = dict(rows)
+    return [(i, a) for i, a in held_before(rows, n) if " ".join(texts[i].lower().split()[a : a + n]) in " ".join(out[i].lower().split())]
+
+
+def test_no_run_of_51_words_stays_whole(spark):
+    rng = random.Random(31)
+    word = lambda: f"q{rng.randrange(10**6)}"
+    rare = [w for w in (f"r{k}" for k in range(4000)) if zlib.crc32(w.encode()) % 8]
+    passages = [[rng.choice(rare) for _ in range(51)] for _ in range(6)]
+    for at in (10, 16, 17, 30):  # sentence ends at every distance from the passage's own
+        passages += [[w + "." * (k in (at, at + 18, 41)) for k, w in enumerate(word() for _ in range(51))] for _ in range(5)]
+    passages.append(["same"] * 51)
+    rows = []
+    for p in passages:
+        for _ in range(3):
+            before, after = ([word() for _ in range(rng.randrange(20))] for _ in range(2))
+            rows.append((len(rows), " ".join(before + p + after) + rng.choice(["", " End."])))
+    runs = held_before(rows, 51)
+    assert len({i for i, _ in runs}) == 2 * len(passages)
+    out = {r["doc_id"]: r["text"] for r in substrings.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left_whole(rows, out) == []
+
+
+def test_units_stand_alike_in_any_case_and_blank():
+    assert [h for h, *_ in substrings.spans(PASSAGE.replace("first", "\u00c4RGER"))] == [h for h, *_ in substrings.spans(PASSAGE.upper().replace("FIRST", "\u00e4rger").replace(" ", "\u00a0"))]
+    assert max(n for *_, n in substrings.units("w " * 40 + PASSAGE)) <= 8
+
+
 # --- decontamination -------------------------------------------------------------
 
 
