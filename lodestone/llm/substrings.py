@@ -14,8 +14,8 @@ they stand: the cuts after words 8 to 43 depend on these 50 words alone, one is
 words 8 to 15, and the span that starts behind it ends 27 words later at most.
 
 A span that a document holds before is marked where the document is read.  Between
-documents, the least and greatest hash of id and text per span, pre-combined, tell the
-spans that several hold; only their occurrences are compared by id and text, so a span
+documents, a pre-combined count per span tells the spans that several rows hold; only
+their occurrences are compared by id and text, so a span
 that every document has moves as rows, never as one group.
 
 Defined results: words are what whitespace separates, lower-cased; what has no letter or
@@ -151,10 +151,13 @@ def repeated(docs: DataFrame, min_units: int = 2, min_words: int = 20, long_word
     schema = T.StructType([T.StructField("h", i64), src.schema["__id"], T.StructField("__th", i64), T.StructField("at", i64), T.StructField("again", T.BooleanType())])
     occ = cut(src.mapInArrow(_emit(min_units, min_words, long_words), schema), "spans")
     heads = occ.where("not again").select("h", "__id", "__th", "at")
-    low = F.min("__id").alias("first")
-    # a span that only rows without id share with one that has an id counts as well
-    many = heads.groupBy("h").agg(low, F.max("__id").alias("last"), F.bool_or(F.col("__id").isNull()).alias("some")).where("first <> last or (some and first is not null)").select("h", "first")
-    later = heads.join(many, "h").where(~F.col("__id").eqNullSafe(F.col("first"))).select("__id", "__th", "at")
+    # rows that share id and text count here as well; the comparison below keeps them
+    many = heads.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    shared = cut(heads.join(many, "h"), "shared-spans")
+    # the least text hash of the least id; nulls only where no row has an id
+    least = shared.groupBy("h").agg(F.min("__id").alias("first"))
+    least = shared.join(least, "h").where("__id <=> first").groupBy("h", "first").agg(F.min("__th").alias("th"))
+    later = shared.join(least, "h").where("not (__id <=> first and __th = th)").select("__id", "__th", "at")
     later = later.unionByName(occ.where("again").select("__id", "__th", "at"))
     span = F.struct(F.shiftright("at", 32).cast("int").alias("start"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("stop"))
     ranges = cut(later.groupBy("__id", "__th").agg(F.array_sort(F.collect_set(span)).alias("__cut")), "ranges")

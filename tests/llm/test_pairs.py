@@ -197,6 +197,14 @@ def test_no_run_of_51_words_stays_whole(spark):
     assert left_whole(rows, out) == []
 
 
+def test_texts_without_id_or_of_one_id_count_against_one_another(spark):
+    rows = [(i, f"{tag} opens this row. " + PASSAGE) for i, tag in [(None, "aa"), (None, "bb"), (7, "cc"), (7, "dd")]]
+    cuts = lambda part: sorted((r["doc_id"] or 0, PASSAGE[40:160] in r["text"]) for r in substrings.remove_repeated(spark.createDataFrame(part, "doc_id long, text string")).collect())
+    assert cuts(rows[:2]) == [(0, False), (0, True)]
+    assert cuts(rows[2:]) == [(7, False), (7, True)]
+    assert cuts(rows) == [(0, False), (0, False), (7, False), (7, True)]
+
+
 def test_units_stand_alike_in_any_case_and_blank():
     assert [h for h, *_ in substrings.spans(PASSAGE.replace("first", "\u00c4RGER"))] == [h for h, *_ in substrings.spans(PASSAGE.upper().replace("FIRST", "\u00e4rger").replace(" ", "\u00a0"))]
     assert max(n for *_, n in substrings.units("w " * 40 + PASSAGE)) <= 8
