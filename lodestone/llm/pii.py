@@ -74,7 +74,7 @@ def _within(rx: str, kind: str, order: int, text: Column, keep) -> Column:
 
 def base_spans(text: Column) -> Column:
     n = lambda s: F.length(digits(s["value"]))
-    octet = lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.right(p, F.lit(9)).try_cast("int"), F.lit(0)) <= 255)
+    octet = lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.right(p, F.lit(9)).try_cast("int"), F.lit(0)) <= 255)
     return F.array_sort(
         F.concat(
             matches(text, _E, "email", 0),

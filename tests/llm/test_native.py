@@ -105,6 +105,12 @@ def test_pii_equals_brute_force(spark):
         assert [r[f"n_{k}"] for k in P] == [sum(x == k for *_, x in want) for k in P]
 
 
+def test_ip_parts_count_all_their_digits(spark):
+    texts = ["1.1.1.1000000001", "at 1000000255.2.3.4 x", "0000000000255.2.3.4", "1.1.1.256"]
+    got = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["base"] if s["kind"] == "ip"] for r in pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: [], 1: [], 2: [("ip", texts[2])], 3: []}
+
+
 def test_iban_checksum_and_context(spark):
     docs = spark.createDataFrame([(1, "IBAN GB82WEST12345698765432 ok"), (2, "IBAN GB83WEST12345698765432"), (3, "call +49 30 1234567"), (4, "x +49 30 1234567")], "doc_id int, text string")
     got = {r["doc_id"]: r for r in pii.scan(docs).collect()}
