@@ -105,7 +105,8 @@ def plan(docs: DataFrame, length: Column | None = None, capacities: tuple[int, .
 
 
 def sequences(planned: DataFrame) -> DataFrame:
-    """One row a bin: its capacity, fill and the pieces in order."""
+    """One row a bin: its capacity, fill and the pieces in order.  Pieces without a bin (documents
+    with an empty or null text) end here: they hold nothing to train on and stand in no row."""
     return (
         planned.where("bin_id is not null")
         .groupBy("bin_id", "capacity")

@@ -50,3 +50,11 @@ def test_each_stage_does_its_part(spark, planted):
     ran = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r["bin_id"] for r in ran) == sorted(r["bin_id"] for r in bins)
     assert minhash.BANDS == 40 and packing.CAPACITIES[-1] == 8192
+
+
+def test_empty_documents_end_at_the_packing_stage(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, ""), (3, None), (4, "more")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in packing.plan(docs).where("bin_id is null").collect()) == [2, 3]
+    bins = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert sorted(d for r in bins.collect() for d in r["doc_ids"]) == [1, 4]
+    assert "empty or null text" in packing.sequences.__doc__
