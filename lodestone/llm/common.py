@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,33 +16,79 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where none is named (tests, one machine),
-    a folder of this process, removed when it ends."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = tempfile.mkdtemp(prefix="lodestone-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+_OWN: dict[str, str] = {}
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: the lineage
-    ends at files that outlive any executor."""
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; where none is named on one machine (tests),
+    a folder of this process, removed when it ends.  A cluster without one is an error:
+    a local folder there would hold a part of each table on every machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if "own" not in _OWN:
+        _OWN["own"] = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, _OWN["own"], ignore_errors=True)
+    return f"file://{_OWN['own']}"
+
+
+def cut(df: DataFrame, name: str = "cut", keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back: the lineage ends at files
+    that outlive any executor.  They go when the driver ends, unless ``keep`` is set."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a result of ``cut`` that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of results of ``cut`` that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def fresh(name: str, *taken: str) -> str:
+    """A column name that starts like ``name`` and that none of ``taken`` has (in any case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """``op`` from 0 on over the values before each place, and last over all: size + 1 bigints.
+
+    Two levels: prefixes within blocks, then those of the blocks' totals, so that no array
+    longer than a block, or than the list of blocks, is grown step by step.
+    """
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+
+    def fold(items: Column, value: Callable[[Column], Column]) -> Column:
+        return F.aggregate(items, start, lambda a, v: F.struct(op(a["at"], value(v)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def of(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / block).cast("int")), lambda i: F.slice(v, i * block + 1, F.lit(block)))
+        return let(F.transform(blocks, lambda b: fold(b, lambda x: x)), joined)
+
+    def joined(parts: Column) -> Column:
+        return let(fold(parts, lambda p: p["at"]), lambda base: F.concat(
+            F.flatten(F.zip_with(parts, base["out"], lambda p, b: F.transform(p["out"], lambda x: op(b, x)))), F.array(base["at"])
+        ))
+
+    return let(values, of)
 
 
 def matches(text: Column, pattern: str, kind: str, order: int, group: int = 0) -> Column:
@@ -49,44 +96,60 @@ def matches(text: Column, pattern: str, kind: str, order: int, group: int = 0) -
     struct(start, k, end, kind, value); offsets are code points, end exclusive.
 
     The text between matches comes from the same pattern, so that running sums
-    of both lengths give the offsets.  ``value`` is the given regex group.
+    of both lengths give the offsets, in time in proportion to text and matches.
+    ``value`` is the given regex group.
     """
     rx = F.lit(pattern)
-    empty = F.expr(
-        "cast(array() as array<struct<start:bigint,k:int,end:bigint,kind:string,value:string>>)"
-    )
+    empty = F.expr("cast(array() as array<struct<start:bigint,k:int,end:bigint,kind:string,value:string>>)")
     hits = F.regexp_extract_all(text, rx, F.lit(0))
     values = hits if group == 0 else F.regexp_extract_all(text, rx, F.lit(group))
-    gaps = F.split(text, pattern, -1)
     steps = F.zip_with(
-        F.transform(gaps, lambda g: F.length(g).cast("bigint")),
-        F.transform(hits, lambda h: F.length(h).cast("bigint")),
-        lambda g, h: F.struct(g.alias("g"), h.alias("h")),
-    )
-    bounds = F.aggregate(
-        steps,
-        F.struct(
-            F.lit(0).cast("bigint").alias("at"),
-            F.expr("cast(array() as array<bigint>)").alias("starts"),
-        ),
-        lambda a, s: F.struct(
-            (a["at"] + s["g"] + F.coalesce(s["h"], F.lit(0))).alias("at"),
-            F.concat(a["starts"], F.array(a["at"] + s["g"])).alias("starts"),
-        ),
-        lambda a: a["starts"],
+        F.split(text, pattern, -1), hits,
+        lambda g, h: F.struct(F.length(g).cast("bigint").alias("g"), F.coalesce(F.length(h), F.lit(0)).cast("bigint").alias("h")),
     )
-    found = F.zip_with(
-        F.zip_with(hits, values, lambda h, v: F.struct(h.alias("h"), v.alias("v"))),
-        F.slice(bounds, F.lit(1), F.size(hits)),
-        lambda x, b: F.struct(
-            b.alias("start"),
-            F.lit(order).alias("k"),
-            (b + F.length(x["h"])).alias("end"),
-            F.lit(kind).alias("kind"),
-            x["v"].alias("value"),
-        ),
-    )
-    return F.when(F.regexp_like(text, rx), found).otherwise(empty)
+
+    def found(m: Column) -> Column:
+        return let(running(F.transform(m["steps"], lambda s: s["g"] + s["h"]), lambda a, b: a + b), lambda before: F.transform(
+            m["values"],
+            lambda v, i: F.struct(
+                (before[i] + m["steps"][i]["g"]).alias("start"),
+                F.lit(order).alias("k"),
+                (before[i] + m["steps"][i]["g"] + m["steps"][i]["h"]).alias("end"),
+                F.lit(kind).alias("kind"),
+                v.alias("value"),
+            ),
+        ))
+
+    return F.when(F.regexp_like(text, rx), let(F.struct(values.alias("values"), steps.alias("steps")), found)).otherwise(empty)
+
+
+#: characters of one part of a text, a power of two
+PART = 4096
+
+
+def parts(text: Column) -> Column:
+    """The text in parts of ``PART`` characters, so that a place is found without a walk from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+
+
+def piece(of: Column, a: Column, b: Column) -> Column:
+    """The characters ``a`` up to ``b`` of a text given by its ``parts``."""
+    bits = PART.bit_length() - 1
+    first, last = F.shiftright(a, bits).cast("int"), F.shiftright(b - 1, bits).cast("int")
+    head = F.substring(of[first], (a.bitwiseAND(F.lit(PART - 1)) + 1).cast("int"), F.least(b - a, F.lit(PART)).cast("int"))
+    rest = F.concat(head, F.array_join(F.slice(of, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.left(of[last], (b - last * PART).cast("int")))
+    return F.when(b <= a, F.lit("")).when(first == last, head).otherwise(rest)
+
+
+def without(text: Column, ranges: Column, mark: str = "") -> Column:
+    """``text`` with each of ``ranges`` (start, end; sorted) replaced by ``mark``, overlapping ones by one."""
+
+    def done(m: Column) -> Column:
+        kept = F.transform(m["r"], lambda s, i: F.when(s["start"] >= m["reach"][i], F.concat(piece(m["of"], m["reach"][i], s["start"].cast("bigint")), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(kept, ""), piece(m["of"], m["reach"][F.size(m["r"])], F.length(text).cast("bigint")))
+
+    reach = running(F.transform(ranges, lambda s: s["end"].cast("bigint")), lambda a, b: F.greatest(a, b))
+    return let(F.struct(parts(text).alias("of"), ranges.alias("r"), reach.alias("reach")), done)
 
 
 def listed(spans: Column) -> Column:

@@ -28,9 +28,9 @@ s as (select * from (
   union all {_spans("forge", 3, "gh[opsu]_[A-Za-z0-9]{20,}")} union all {_spans("jwt", 4, r"eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}")}
   union all {_spans("pem", 5, "-----BEGIN [A-Z ]*PRIVATE KEY-----")})
   where length(value) >= case kind when 'assign' then 6 when 'access' then 20 when 'hex' then 24 when 'forge' then 24 else 20 end),
-o as (select s.value, count(distinct split_part(d.source, '/', 1)) as owners from s join d using (rid) group by s.value),
+o as (select s.value, count(distinct split_part(d.source, '/', 1)) as owners, count(distinct d.source) as repos from s join d using (rid) group by s.value),
 j as (select s.*, kind || ':' || start || ':' || (start + len) as span,
-        case when owners >= 3 then 'example'
+        case when owners >= 3 or owners > 1 and repos >= 5 then 'example'
              when owners = 1 and length(s.value) >= 16 and regexp_matches(s.value, '[0-9]') and regexp_matches(s.value, '[A-Za-z]')
                   and len(list_distinct(string_split(s.value, ''))) >= 8 then 'live' else 'unclear' end as verdict
       from s join o on s.value = o.value),
@@ -48,18 +48,19 @@ _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 _IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 _CARD = r"[0-9]([\x20-]?[0-9])+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+_IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)"
 _D = "regexp_replace(value, '[^0-9]', '', 'g')"
 _LUHN = """list_sum(list_transform(range(1, length(dig) + 1), lambda i: case when i % 2 = 1 then cast(substr(reverse(dig), i, 1) as integer)
   else [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][cast(substr(reverse(dig), i, 1) as integer) + 1] end)) % 10 = 0"""
-_MOD97 = """list_reduce(list_concat([0], list_transform(string_split(substr(value, 5) || substr(value, 1, 4), ''), lambda c: case when c between '0' and '9' then ascii(c) - 48 else ascii(c) + 45 end)),
+_MOD97 = """list_reduce(list_concat([0], list_transform(string_split(substr(replace(value, ' ', ''), 5) || substr(value, 1, 4), ''), lambda c: case when c between '0' and '9' then ascii(c) - 48 else ascii(c) + 45 end)),
   lambda a, x: case when x < 10 then (a * 10 + x) % 97 else (a * 100 + x - 100) % 97 end) = 1"""
 
 
 def _score() -> str:
-    from .pii import SCORES
+    from .pii import SCORES, WORD
 
     return " ".join(
-        f"when '{kind}' then case when regexp_matches(before, '{words}') then {round(prior + gain, 2)} else {prior} end" for kind, (prior, gain, words) in SCORES.items()
+        f"when '{kind}' then case when regexp_matches(nearby, '{WORD.format(words)}') then {prior + check + gain} else {prior + check} end" for kind, (prior, check, gain, words) in SCORES.items()
     )
 
 
@@ -67,9 +68,10 @@ OP6 = f"""
 with {_ROWS},
 c as (select *, {_D} as dig from (
   {_spans("email", 0, _EMAIL)} union all {_spans("ip", 1, _IP)} union all {_spans("card", 2, _CARD)} union all {_spans("phone", 3, _PHONE)}
-  union all {_spans("iban", 4, "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")})),
+  union all {_spans("iban", 4, _IBAN)})),
 s as (select c.rid, start, k, len, kind, kind || ':' || start || ':' || (start + len) as span,
-        lower(substr(d.text, cast(greatest(start - 40, 0) + 1 as bigint), cast(least(start, 40) as bigint))) as before
+        lower(case when start <= 41 then ' ' else '' end || substr(d.text, cast(greatest(start - 41, 0) + 1 as bigint), cast(least(start, 41) as bigint))
+          || ' ' || substr(d.text, cast(start + len + 1 as bigint), 41) || case when length(d.text) - start - len <= 41 then ' ' else '' end) as nearby
       from c join d using (rid)
       where case kind when 'email' then true
         when 'ip' then len(list_filter(string_split(value, '.'), lambda p: length(ltrim(p, '0')) > 3 or cast(right(p, 9) as integer) > 255)) = 0
@@ -79,10 +81,11 @@ s as (select c.rid, start, k, len, kind, kind || ':' || start || ':' || (start +
 g as (select rid, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card,
         count(*) filter (kind = 'phone') as n_phone, count(*) filter (kind = 'iban') as n_iban,
         coalesce(string_agg(span, ',' order by start, k) filter (k < 4), '') as base, string_agg(span, ',' order by start, k) as spans,
-        cast(round(sum(case kind {_score()} end), 2) as double) as score_sum
-      from s group by rid)
+        string_agg(score, ',' order by start, k) as span_scores, cast(sum(score) as double) / 100 as score_sum
+      from (select *, case kind {_score()} end as score from s) group by rid)
 select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
-  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_iban, 0) as n_iban, coalesce(score_sum, cast(0 as double)) as score_sum
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_iban, 0) as n_iban,
+  coalesce(span_scores, '') as span_scores, coalesce(score_sum, cast(0 as double)) as score_sum
 from d left join g using (rid)
 """
 
@@ -94,7 +97,7 @@ OP5 = f"""
 with r as (select doc_id, coalesce(strlen(text), 0) as n_bytes, {_NIBBLES} as h from documents),
 t as (select d, left(h, d) as p, sum(n_bytes) as b, count(*) as n from r, (select unnest(range(0, 65)) as d) group by all),
 leaf as (select t.* from t left join t u on u.d = t.d - 1 and u.p = left(t.p, t.d - 1)
-         where (t.d = 0 or u.b > {1 << 20}) and (t.b <= {1 << 20} or t.d = 64))
+         where (t.d = 0 or u.b > {1 << 20} and u.n > 1) and (t.b <= {1 << 20} or t.n = 1 or t.d = 64))
 select r.doc_id, r.n_bytes, leaf.p as shard, cast(leaf.d as integer) as depth, cast(leaf.b as bigint) as shard_bytes, leaf.n as shard_rows, leaf.b > {1 << 20} as oversized
 from r join leaf on left(r.h, leaf.d) = leaf.p
 """

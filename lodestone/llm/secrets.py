@@ -2,15 +2,19 @@
 
 Patterns propose candidate credentials in each whole text.  Every candidate is
 hashed, and the corpus is aggregated by hash into the number of distinct
-repositories and owners that carry it.  A value that many owners carry is a
+repositories and owners that carry it.  A value that ``example_owners`` owners carry, or
+that two owners carry in ``example_repos`` repositories, is a
 copied example; a random-looking value that one owner carries is live-looking.
-Only DataFrame expressions run; the aggregation is pre-combined by (hash, repo),
-so a value copied into a third of all rows costs one row a map task.
+Only DataFrame expressions run; the counts are pre-combined by (hash, owner, repository),
+then by (hash, owner) and then by hash, so that no list of owners is ever held.
+A repository's owner is what its name has before ``/`` (a name without one is its own
+owner) or a given column.
 
-Defined results: a null text counts as empty (no spans); a null repository or
+Defined results: a null text counts as empty (no spans); a very long text takes time in
+proportion to its length and matches; a null repository or
 owner counts as one unnamed repository; repeated rows each get their own result
 row; an empty table gives an empty result; columns beyond the named ones are
-ignored by ``scan`` and carried through by ``redact``.
+ignored by ``scan`` and carried through by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import count_kind, cut, listed, matches
+from .common import count_kind, cut, fresh, listed, matches, without
 
 
 def _either(word: str) -> str:
@@ -84,30 +88,27 @@ def candidates(docs: DataFrame, text: str = "text", repo: str = "source", owner:
 
 
 def ownership(cands: DataFrame) -> DataFrame:
-    """value hash -> distinct repositories and owners over the whole corpus."""
+    """value hash -> distinct owners and repositories over the whole corpus."""
     return (
         cands.select("__repo", "__owner", F.explode("__all").alias("s"))
         .select(F.sha2("s.value", 256).alias("__hash"), "__repo", "__owner")
-        .groupBy("__hash", "__repo", "__owner")
+        .distinct()
+        .groupBy("__hash", "__owner")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("__hash")
-        .agg(
-            F.size(F.collect_set("__owner")).alias("__owners"),
-            F.size(F.collect_set("__repo")).alias("__repos"),
-            F.sum("n").alias("__uses"),
-        )
+        .agg(F.count(F.lit(1)).alias("__owners"), F.sum("n").alias("__repos"))
     )
 
 
-def verdict(value: Column, owners: Column, example_owners: int) -> Column:
+def verdict(value: Column, owners: Column, repos: Column, example_owners: int, example_repos: int) -> Column:
     return (
-        F.when(owners >= example_owners, F.lit("example"))
+        F.when((owners >= example_owners) | ((owners > 1) & (repos >= example_repos)), F.lit("example"))
         .when((owners == 1) & looks_random(value), F.lit("live"))
         .otherwise(F.lit("unclear"))
     )
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "source", example_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "source", example_owners: int = 3, example_repos: int = 5) -> DataFrame:
     """Every row's spans with each span's verdict (array ``found``)."""
     c = cut(
         candidates(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(repo).alias("source")))
@@ -123,7 +124,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str
             "__row",
             F.struct(
                 "s.start", "s.k", "s.end", "s.kind", "s.value", "__owners", "__repos",
-                verdict(F.col("s.value"), F.col("__owners"), example_owners).alias("verdict"),
+                verdict(F.col("s.value"), F.col("__owners"), F.col("__repos"), example_owners, example_repos).alias("verdict"),
             ).alias("f"),
         )
         .groupBy("__row")
@@ -149,32 +150,22 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, text: str = "text", repo: str = "source", example_owners: int = 3, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", repo: str = "source", example_owners: int = 3, example_repos: int = 5, mark: str = "[SECRET]") -> DataFrame:
     """All rows, with every span replaced unless its value is a copied example.
 
     Spans follow from the text alone and verdicts from the value, so the ranges
     to replace are found once for each distinct text and joined back by its hash.
     """
     names = docs.columns
+    key, hidden = fresh("__key", *names), fresh("__hide", *names)
     c = candidates(docs.select(F.col(text).alias("text"), F.col(repo).alias("source"))).where(F.size("__all") > 0)
-    c = cut(c.select(F.md5("text").alias("__key"), "__repo", "__owner", "__all"), "secrets")
-    flat = c.select("__key", F.explode("__all").alias("s")).select("__key", "s.start", "s.end", "s.value", F.sha2("s.value", 256).alias("__hash"))
+    c = cut(c.select(F.md5("text").alias(key), "__repo", "__owner", "__all"), "secrets")
+    flat = c.select(key, F.explode("__all").alias("s")).select(key, "s.start", "s.end", "s.value", F.sha2("s.value", 256).alias("__hash"))
     hide = (
         flat.join(ownership(c), "__hash")
-        .where(verdict(F.col("value"), F.col("__owners"), example_owners) != "example")
-        .groupBy("__key")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__hide"))
-    )
-    cuts = F.aggregate(
-        "__hide",
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
-        lambda a, s: F.struct(
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)))
-            .otherwise(a["out"])
-            .alias("out"),
-            F.greatest(a["at"], s["end"]).alias("at"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.lit(2147483647))),
+        .where(verdict(F.col("value"), F.col("__owners"), F.col("__repos"), example_owners, example_repos) != "example")
+        .groupBy(key)
+        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(hidden))
     )
-    joined = docs.join(hide, F.md5(F.col(text)) == F.col("__key"), "left")
-    return joined.withColumn(text, F.when(F.col("__hide").isNull(), F.col(text)).otherwise(cuts)).select(*names)
+    joined = docs.join(hide, F.md5(F.col(text)) == F.col(key), "left")
+    return joined.withColumn(text, F.when(F.col(hidden).isNull(), F.col(text)).otherwise(without(F.col(text), F.col(hidden), mark))).select(*names)

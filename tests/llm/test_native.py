@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import pii, secrets, sharding
+from lodestone.llm import common, pii, secrets, sharding
 
 KINDS = {
     "assign": re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A),
@@ -61,6 +61,20 @@ def test_ownership_tells_examples_from_live_ones(spark, scanned):
     assert out[7]["text"] == "[SECRET]xyz" + "0" * 23
 
 
+def test_verdict_counts_owners_and_repositories(spark):
+    rows = [("org1/a", "token=wide5678wide")] * 2 + [(f"org{i}/r{i % 3}{i}", "token=wide5678wide") for i in range(2, 5)]
+    rows += [(f"solo/{i}", "token=Own1234567own890x") for i in range(9)] + [(f"pair{i % 2}/{i}", "token=Two1234567two890x") for i in range(5)]
+    rows += [(f"duo{i}/x", "token=Few1234567few890x") for i in range(2)]
+    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {rows[r["doc_id"]][1]: (r["n_live"], r["n_example"], r["n_unclear"]) for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert got == {"token=wide5678wide": (0, 1, 0), "token=Own1234567own890x": (1, 0, 0), "token=Two1234567two890x": (0, 1, 0), "token=Few1234567few890x": (0, 0, 1)}
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "token=abcdef99", "s", "k", "h", 4)], "doc_id long, text string, source string, __key string, __hide string, __row int")
+    assert secrets.redact(docs).first() == (1, "[SECRET]", "s", "k", "h", 4) and secrets.redact(docs).columns == docs.columns
+
+
 def test_secrets_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert secrets.digest(secrets.scan(empty)).count() == 0 and secrets.redact(empty).count() == 0
@@ -112,10 +126,49 @@ def test_ip_parts_count_all_their_digits(spark):
 
 
 def test_iban_checksum_and_context(spark):
-    docs = spark.createDataFrame([(1, "IBAN GB82WEST12345698765432 ok"), (2, "IBAN GB83WEST12345698765432"), (3, "call +49 30 1234567"), (4, "x +49 30 1234567")], "doc_id int, text string")
-    got = {r["doc_id"]: r for r in pii.scan(docs).collect()}
-    assert [s["kind"] for s in got[1]["found"]] == ["iban"] and got[1]["scores"] == [1.0] and not [s for s in got[2]["found"] if s["kind"] == "iban"]
-    assert got[3]["scores"][0] > got[4]["scores"][0]
+    texts = {1: "IBAN GB82WEST12345698765432 ok", 2: "IBAN GB83WEST12345698765432", 3: "call +49 30 1234567", 4: "x +49 30 1234567", 5: "hotel +49 30 1234567", 6: "+49 30 1234567 is my phone",
+             7: "y" * 60 + " +49 30 1234567 " + "y" * 60 + " call", 8: "konto GB82 WEST 1234 5698 7654 32.", 9: "GB82 WEST 1234 5698 7654 33", 10: "tel" + "z" * 38 + "+49 30 1234567"}
+    got = {r["doc_id"]: r for r in pii.scan(spark.createDataFrame(list(texts.items()), "doc_id int, text string")).collect()}
+    ibans = {i: [(s["start"], s["end"]) for s in r["found"] if s["kind"] == "iban"] for i, r in got.items()}
+    assert (ibans[1], ibans[2], ibans[8], ibans[9]) == ([(5, 27)], [], [(6, 33)], [])
+    assert got[1]["scores"] == [100] and got[8]["scores"][[s["kind"] for s in got[8]["found"]].index("iban")] == 100
+    assert [got[i]["scores"][0] for i in (3, 4, 5, 6, 7, 10)] == [90, 60, 60, 90, 60, 60]
+
+
+def test_pii_of_nothing_and_of_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a@b.cc", "x")], "doc_id long, text string, base string")
+    assert pii.digest(pii.scan(docs)).first()["spans"] == "email:0:6" and pii.digest(pii.scan(docs.limit(0))).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    mails = "".join(f"\u00e9 mail me{i}@x.org now, " for i in range(20_000))
+    keys = "".join(f"token=abc{i:06d}xyz and " for i in range(20_000))
+    docs = spark.createDataFrame([(1, mails, "a"), (2, keys, "b")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in pii.digest(pii.scan(docs)).collect()}
+    assert got[1]["base_sha256"] == hashlib.sha256(listed(brute_pii(mails)).encode()).hexdigest() and got[1]["n_email"] == 20_000
+    assert set(got[1]["span_scores"].split(",")) == {"95"}
+    found = {r["doc_id"]: r for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert found[2]["base_sha256"] == hashlib.sha256(listed(brute(keys)).encode()).hexdigest() and found[2]["n_assign"] == 20_000
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert out == {1: mails, 2: "[SECRET] and " * 20_000}
+
+
+def test_ranges_are_cut_as_in_plain_python(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        text = "".join(rng.choice("ab\u00e9\U0001f600\n") for _ in range(rng.choice([0, 5, 4096, 9000])))
+        cuts = sorted((a, a + rng.randrange(1, 2000)) for a in (rng.randrange(len(text) + 1) for _ in range(rng.choice([1, 2, 600]))))
+        rows.append((i, text, cuts))
+    docs = spark.createDataFrame(rows, "i int, text string, cuts array<struct<start:bigint,end:bigint>>")
+    got = {r["i"]: r["out"] for r in docs.select("i", common.without(F.col("text"), F.col("cuts"), "#").alias("out")).collect()}
+    for i, text, cuts in rows:
+        out, at = "", 0
+        for a, b in cuts:
+            if a >= at:
+                out += text[at:a] + "#"
+            at = max(at, b)
+        assert got[i] == out + text[at:], i
 
 
 # --- sharding ------------------------------------------------------------------
@@ -131,7 +184,7 @@ def test_shards_fit_and_cover(spark):
         sizes.setdefault(r["shard"], []).append(r["n_bytes"])
     for r in rows:
         assert sum(sizes[r["shard"]]) == r["shard_bytes"] and len(sizes[r["shard"]]) == r["shard_rows"] and len(r["shard"]) == r["depth"]
-        assert r["shard_bytes"] <= 1000 or (r["oversized"] and r["depth"] == 64)
+        assert r["shard_bytes"] <= 1000 or (r["oversized"] and r["shard_rows"] == 1)
     shards = sorted(sizes)
     assert not any(b.startswith(a) for a, b in zip(shards, shards[1:], strict=False))
     # a bucket was split only where its parent was over the limit
@@ -140,8 +193,20 @@ def test_shards_fit_and_cover(spark):
             assert sum(sum(v) for k, v in sizes.items() if k.startswith(s[:-1])) > 1000
 
 
-def test_shards_of_equal_rows_and_of_nothing(spark):
-    docs = spark.createDataFrame([(7, "z" * 100)] * 30, "doc_id long, text string")
+def test_rows_of_one_id_split_as_well(spark):
+    texts = [(7, f"{i} " + "z" * 1000) for i in range(20)] + [(None, "q" * 900)] * 9 + [(8, "w" * 500)] * 30
+    rows = sharding.assign(spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, __h int"), 4096).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"]) for r in rows) == sorted((i or 0, len(t)) for i, t in texts)
+    sizes = {}
+    for r in rows:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["n_bytes"]
+        assert r["shard_bytes"] <= 4096 and not r["oversized"]
+    assert all(sizes[r["shard"]] == r["shard_bytes"] for r in rows)
+
+
+def test_shards_of_one_large_row_and_of_nothing(spark):
+    docs = spark.createDataFrame([(7, "z" * 100)] * 30 + [(8, "y" * 1001)], "doc_id long, text string")
     rows = sharding.assign(docs, 1000).collect()
-    assert len(rows) == 30 and all(r["oversized"] and r["depth"] == 64 for r in rows)
+    assert len(rows) == 31 and [r["doc_id"] for r in rows if r["oversized"]] == [8]
+    assert all(r["shard_rows"] == 1 for r in rows if r["oversized"])
     assert sharding.assign(docs.where(F.lit(False)), 1000).count() == 0
