@@ -1,73 +1,28 @@
-"""Connected components of an edge table, without gathering it on the driver.
+"""Connected components of an edge table by large-star and small-star steps over
+the whole cluster, whatever the number of edges.
 
-Up to ``small`` edges (counted first) one task labels them; beyond that,
-large-star and small-star steps run over the whole cluster.  Both give the same
-labels.
+Each node's least neighbour is a pre-combined minimum that is joined back, so
+that a hub's neighbours are never gathered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, discard
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, small: int = 1_000_000) -> DataFrame:
-    """(node, label): the least node that each node of ``edges(a, b)`` can reach."""
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
-    return _in_one_task(e) if e.count() <= small else _stars(e.distinct())
-
-
-def label(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index that each of the indices in ``a`` and ``b`` can reach."""
-    out = np.arange(max(a.max(initial=-1), b.max(initial=-1)) + 1)
-    while True:
-        low = out.copy()
-        np.minimum.at(low, a, out[b])
-        np.minimum.at(low, b, out[a])
-        np.minimum.at(low, out[a], out[b])
-        np.minimum.at(low, out[b], out[a])
-        low = low[low]
-        if np.array_equal(low, out):
-            return out
-        out = low
-
-
-def _in_one_task(e: DataFrame) -> DataFrame:
-    kind = e.schema["a"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        ends = [np.asarray(table.column(c).to_pandas()) for c in ("a", "b")]
-        nodes, index = np.unique(np.concatenate(ends), return_inverse=True)
-        n = len(ends[0])
-        found = label(index[:n], index[n:])
-        arrow = table.schema.field("a").type
-        for at in range(0, len(nodes), 100_000):
-            yield pa.record_batch([pa.array(nodes[at : at + 100_000], arrow), pa.array(nodes[found[at : at + 100_000]], arrow)], names=["node", "label"])
-
-    return e.coalesce(1).mapInArrow(run, T.StructType([T.StructField("node", kind), T.StructField("label", kind)]))
-
-
-def _stars(e: DataFrame) -> DataFrame:
-    """Large-star and small-star steps alternate until the edges stay as they are.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node that each node of ``edges(a, b)`` can reach.
 
-    Each node's least neighbour is a pre-combined minimum that is joined back, so
-    that a hub's neighbours are never gathered.
+    Both kinds of steps alternate until the edges stay as they are.
     """
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _mark(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -81,7 +36,8 @@ def _stars(e: DataFrame) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        e = cut(small, "edges")
+        before, e = e, cut(small, "edges")
+        discard(before)
         now = _mark(e)
         if now == seen:
             break

@@ -66,27 +66,83 @@ def test_classes_equal_brute_force(spark, corpus, width):
     assert got == brute_classes(corpus, width, 80)
 
 
-def test_cross_join_misses_no_pair(spark):
+@pytest.mark.parametrize("meet, groups", [(2048, 1000), (7, 1000), (7, 3), (2048, 2)])
+def test_cross_join_misses_no_pair(spark, monkeypatch, meet, groups):
+    own = F.when(F.col("cls") % 5 < 4, F.col("cls") % groups).otherwise(F.lit(0))
     rng = random.Random(2)
     base = [rng.randrange(10**6) for _ in range(100)]
     rows = []
     for i in range(60):
         s = set(rng.sample(base, rng.randrange(82, 101))) | {rng.randrange(10**6) for _ in range(rng.randrange(25))}
         rows.append((i, sorted(s)))
-    sets = spark.createDataFrame(rows, "doc_id long, items array<long>")
-    docs = sets.select(F.col("doc_id").alias("rep"), F.size("items").cast("long").alias("n"), F.col("doc_id").alias("own"))
+    sets = spark.createDataFrame(rows, "cls long, items array<long>")
+    docs = sets.select("cls", F.size("items").cast("long").alias("n"), own.alias("own"))
+    monkeypatch.setattr(minhash, "MEET", meet)
     got = {tuple(sorted(r)) for r in minhash._verified(minhash._cross(docs, sets, 80), sets, 80).collect()}
     s = {i: set(x) for i, x in rows}
-    want = {(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])}
+    of = lambda i: i % groups if i % 5 < 4 else 0
+    want = {(a, b) for a in s for b in s if a < b and of(a) != of(b) and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])}
     assert got == want and want
 
 
 def test_nulls_repeats_and_nothing(spark):
-    docs = spark.createDataFrame([(None, "a b c d e f"), (None, None), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
-    rows = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
-    assert rows == [(0, None, True), (0, None, True), (1, 1, True), (1, 1, True), (2, 1, False)]
-    assert sorted(r["doc_id"] or 0 for r in minhash.keep_first(docs).collect()) == [0, 0, 1, 1]
-    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+    docs = spark.createDataFrame([(None, "a b c d e f"), (None, None), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "z z"), (None, "Z z")], "doc_id long, text string")
+    rows = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert rows == [(0, 0, True), (0, 0, True), (0, 0, True), (0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False)]
+    assert sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in minhash.keep_first(docs).collect()) == [(0, ""), (0, "z z"), (1, "a b c d e f")]
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0 and minhash.keep_first(docs.limit(0)).count() == 0
+
+
+def brute_rows(rows, width, percent):
+    """(component id of each row, rows that stay) where ids may repeat: text components by plain comparison of all rows."""
+    sets = [shingles(t, width) for _, t in rows]
+    label = list(range(len(rows)))
+    near = lambda a, b: a and b and 100 * len(a & b) >= percent * len(a | b)
+    links = [(x, y) for x in range(len(rows)) for y in range(x) if near(sets[x], sets[y])]
+
+    def spread(links, label):
+        changed = True
+        while changed:
+            changed = False
+            for x, y in links:
+                m = min(label[x], label[y])
+                changed |= label[x] != m or label[y] != m
+                label[x] = label[y] = m
+        return label
+
+    text = spread(links, label[:])
+    whole = spread(links + [(x, y) for x in range(len(rows)) for y in range(x) if sets[x] and sets[y] and rows[x][0] == rows[y][0]], label[:])
+    least = {}
+    for (i, _), s, w in zip(rows, sets, whole, strict=True):
+        if s:
+            least[w] = min(least.get(w, i), i)
+    stay, seen = [], set()
+    for x in sorted(range(len(rows)), key=lambda x: rows[x][0]):
+        if text[x] not in seen or not sets[x]:
+            stay.append(rows[x])
+            seen.add(text[x])
+    return [least[w] if s else i for (i, _), s, w in zip(rows, sets, whole, strict=True)], stay
+
+
+def test_ids_with_several_texts_lose_nothing(spark):
+    rng = random.Random(41)
+    text = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (5, a), (5, b), (6, b + " x"), (7, c), (7, c), (8, d), (8, e), (9, d + " y"), (10, text()), (3, ""), (3, ""), (11, e + " q")]
+    docs = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, __id string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs, 4).collect())
+    names, stay = brute_rows(rows, 4, 80)
+    assert got == sorted(zip([i for i, _ in rows], names, strict=True))
+    kept = minhash.keep_first(docs, 4)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted(stay)
+    assert {b, e} <= {t for _, t in stay}
+
+
+def test_very_long_texts_are_compared_whole(spark):
+    long = " ".join(f"w{k % 7001}_{k % 31}" for k in range(120_000))
+    rows = [(1, long), (2, long + " tail"), (3, " ".join(reversed(long.split()))), (4, "x" * 500_000), (5, "x" * 500_001)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows, 5, 80)
 
 
 def test_signature_collides_as_the_sets_do():
@@ -102,8 +158,7 @@ def test_signature_collides_as_the_sets_do():
         assert abs(hits / total) < 0.06, n
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_components(spark, small):
+def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(20)]
     label = {x: x for e in edges for x in e}
@@ -114,7 +169,7 @@ def test_components(spark, small):
             m = min(label[a], label[b])
             changed |= label[a] != m or label[b] != m
             label[a] = label[b] = m
-    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), small).collect()}
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in label.items() if any(k in e and e[0] != e[1] for e in edges)}
 
 
