@@ -6,8 +6,10 @@ step and word, says whether to go on to the next one; words past the end are a
 pad symbol.  Few edits leave few positions different.  Each of ``repeats`` walks
 samples ``bits`` positions as a hash key.  Windows of a document that are as
 long as an item look up the item keys of that length; a collision in any walk is
-a candidate, and a banded edit distance against the text around it decides:
-at most ``1 - similarity`` edits a word.
+a candidate, and the exact edit distance against the text around it decides:
+at most ``1 - similarity`` edits a word.  Every place is reported: places of one item are
+disjoint, and where candidates overlap the one with fewest edits is taken, then what is left on
+either side of it is searched again.
 
 Windows that cannot be that near are not embedded: n words with at most e edits
 keep an unbroken run of n // (e + 1) words, so a window without such a run of any
@@ -18,13 +20,15 @@ of which is matched against all rows in a pass of its own.
 
 Defined results: a null or empty text matches nothing; items without words match
 nothing; items of few words must match exactly; rows that repeat are all
-reported; null ids are reported with a null id; an empty table gives an empty
-result; columns beyond the named ones are ignored.
+reported; null ids are reported with a null id; a very long text is searched whole, in time in proportion to
+its length; an empty table gives an empty
+result; columns beyond the named ones are ignored by ``find`` and carried through by ``keep_clean``, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -146,35 +150,24 @@ class Index:
                 rows[r] = ids
                 wanted[n] += [(r, s) for s in sorted(starts)]
         found = []
-        for n, places in wanted.items():
-            for at in range(0, len(places), 4096):
-                found += self._near(n, places[at : at + 4096], rows)
-        return sorted(set(found))
-
-    def _near(self, n: int, places: list[tuple[int, int]], rows: dict[int, np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-        e = edits_allowed(n, self.similarity)
-        block = np.full((len(places), n), PAD, np.int64)
-        for k, (r, s) in enumerate(places):
+        for n, windows in wanted.items():
+            near: dict[tuple[int, int], set[int]] = defaultdict(set)
+            for at in range(0, len(windows), 4096):
+                self._collide(n, windows[at : at + 4096], rows, near)
+            e = edits_allowed(n, self.similarity)
+            found += [(r, i, *place) for (r, i), starts in near.items() for place in places(self.items[i], rows[r], sorted(starts), e)]
+        return sorted(found)
+
+    def _collide(self, n: int, windows: list[tuple[int, int]], rows: dict[int, np.ndarray], near: dict[tuple[int, int], set[int]]) -> None:
+        """Add the starts of the windows that share a key with an item to ``near`` (row, item)."""
+        block = np.full((len(windows), n), PAD, np.int64)
+        for k, (r, s) in enumerate(windows):
             part = rows[r][s : s + n]
             block[k, : len(part)] = part
-        near: dict[tuple[int, int], set[int]] = defaultdict(set)
         for walk, keys in enumerate(embed(block, n, self.picks[n], self.bits_of).tolist()):
-            for (r, s), key in zip(places, keys, strict=True):
+            for (r, s), key in zip(windows, keys, strict=True):
                 for i in self.keys.get((n, walk, *key), ()):
                     near[r, i].add(s)
-        found = []
-        for (r, i), at in near.items():
-            item, ids = self.items[i], rows[r]
-            for a, b in _spans(sorted(at), n):
-                same = next((s for s in range(a, b + 1) if s in at and np.array_equal(ids[s : s + n], item)), None)
-                if same is not None:
-                    found.append((r, i, 0, same, same + n))
-                    continue
-                lo = max(0, a - e)
-                d, x, y = best_place(item, ids[lo : b + n + e])
-                if d <= e:
-                    found.append((r, i, d, lo + x, lo + y))
-        return found
 
 
 def _grams(ids: np.ndarray, run: int) -> np.ndarray:
@@ -186,15 +179,51 @@ def _grams(ids: np.ndarray, run: int) -> np.ndarray:
     return (mix(h) >> U(2)).astype(np.int64)
 
 
-def _spans(starts: list[int], gap: int) -> Iterator[tuple[int, int]]:
-    """Starts joined while they are less than ``gap`` apart."""
-    a = b = starts[0]
-    for s in starts[1:]:
-        if s - b >= gap:
-            yield a, b
-            a = s
-        b = s
-    yield a, b
+def _nearest(item: np.ndarray, ids: np.ndarray, starts: list[int], lo: int, hi: int, e: int) -> tuple[int, int, int] | None:
+    """Edits, start and end of the best stretch of ``ids[lo:hi]``, if near enough."""
+    n = len(item)
+    if hi - lo < n - e:
+        return None
+    for s in starts[bisect_left(starts, lo) : bisect_right(starts, hi - n)]:
+        if np.array_equal(ids[s : s + n], item):
+            return 0, s, s + n
+    d, x, y = best_place(item, ids[lo:hi])
+    return (d, lo + x, lo + y) if d <= e else None
+
+
+def _inside(item: np.ndarray, ids: np.ndarray, starts: list[int], lo: int, hi: int, e: int) -> Iterator[tuple[int, int, int]]:
+    best = _nearest(item, ids, starts, lo, hi, e)
+    if best is not None:
+        yield from _inside(item, ids, starts, lo, best[1], e)
+        yield best
+        yield from _inside(item, ids, starts, best[2], hi, e)
+
+
+def places(item: np.ndarray, ids: np.ndarray, starts: list[int], e: int) -> list[tuple[int, int, int]]:
+    """Edits, first word and word after the last of the disjoint places near ``item``, found from
+    the candidates' sorted ``starts``: each is a place's start but for ``e`` words.
+
+    A step looks at some ``n + 4 e`` words, or as many more as a nearer place overlaps them.
+    """
+    n, found, free, k = len(item), [], 0, 0
+    while k < len(starts):
+        s = starts[k]
+        lo, hi = max(free, s - e), min(len(ids), s + n + 3 * e)
+        best = _nearest(item, ids, starts, lo, hi, e)
+        if best is None:
+            # nothing starts up to 2 e words behind s
+            k = bisect_right(starts, s + e)
+            continue
+        while best[0] and hi < min(len(ids), best[2] + n + e):
+            hi = min(len(ids), best[2] + n + e)
+            wider = _nearest(item, ids, starts, lo, hi, e)
+            if wider[0] >= best[0]:
+                break
+            best = wider
+        found += [*_inside(item, ids, starts, lo, best[1], e), best]
+        free = best[2]
+        k = max(k + 1, bisect_left(starts, free - e))
+    return found
 
 
 def best_place(item: np.ndarray, ids: np.ndarray) -> tuple[int, int, int]:

@@ -1,17 +1,17 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into units after every sentence end, and after each word that is
-the least of some ``long_words // 2`` consecutive ones by hash (a sentence end comes
-before all others, then the leftmost).  So no unit has more words than that, and
-whether a cut stands after a word depends on no word further away.  From every unit starts one
-span: the shortest run of at least ``min_units`` units with at least
-``min_words`` words; where none ends with the text, the shortest such run that does is
-one more, so that a whole copy goes to its last word.  All spans are hashed and joined over the corpus; each
+A sentence ends at a full stop, exclamation or question mark or line break; one of more than
+``longest`` words is cut further, after each word that is
+the least of some ``longest`` consecutive ones by hash (a sentence end comes
+before all others, then the leftmost).  So no sentence, in this sense, has more words than that, and
+whether a cut stands after a word depends on no word further away.  Every run of ``run``
+consecutive sentences is a span, however few words it has; longer runs need no hash of their own, as a repeated run's
+shorter ones repeat too and cover it.  All spans are hashed and joined over the corpus; each
 occurrence but the first (least doc_id, then least text hash and offset) is removed.
 
 With the defaults, any 50 consecutive words hold a whole span that is cut alike wherever
-they stand: the cuts after words 8 to 43 depend on these 50 words alone, one is among
-words 8 to 15, and the span that starts behind it ends 27 words later at most.
+they stand: the cuts after words 7 to 44 depend on these 50 words alone, one is among
+words 7 to 13, and the four sentences behind it end 28 words later at most.
 
 A span that a document holds before is marked where the document is read.  Between
 documents, a pre-combined count per span tells the spans that several rows hold; only
@@ -22,9 +22,9 @@ Defined results: words are what whitespace separates, lower-cased; what has no l
 digit is no word and belongs to the word before it; a null text stays null and has no
 spans; rows that share both id and text count as one document (equal spans of theirs are
 kept), as do rows without id that share the text; a null id sorts after all others; texts
-of one id count against one another by their hash; a text with fewer units or words than a
-span needs is left as it is; an empty table gives an empty result; other columns are
-carried through.
+of one id count against one another by their hash; a text with fewer sentences than a
+span needs is left as it is; a very long text is read whole, in time in proportion to its length and
+cuts; an empty table gives an empty result; other columns are carried through, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as at
-from .common import cut, discard
+from .common import cut, discard, fresh, without
 
 U = np.uint64
 _CODES = at.byte_codes(fold=False)
@@ -56,8 +56,8 @@ def folded(text: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(text.cast(pa.large_string())), pattern=_BLANK, replacement=" ")
 
 
-def _units(data: np.ndarray, offsets: np.ndarray, long_words: int) -> tuple[np.ndarray, ...]:
-    """Of the rows' folded bytes: row, first word, last word, start and end character of each unit; each word's hash."""
+def _units(data: np.ndarray, offsets: np.ndarray, longest: int) -> tuple[np.ndarray, ...]:
+    """Of the rows' folded bytes: row, first word, last word, start and end character of each sentence; each word's hash."""
     starts, ends, _ = at.words(data, offsets)
     marks = np.concatenate([[0], np.cumsum(_ALNUM[data])])
     real = marks[ends] > marks[starts]
@@ -73,7 +73,7 @@ def _units(data: np.ndarray, offsets: np.ndarray, long_words: int) -> tuple[np.n
     tail = np.maximum.accumulate(np.where(_ALNUM[data], np.arange(len(data)), 0))[stops - 1] + 1
     breaks = np.concatenate([[0], np.cumsum(_END[data])])
     close = breaks[stops] > breaks[tail]
-    width = max(1, long_words // 2)
+    width = max(1, longest)
     chosen = close | last
     if n >= width:
         key = np.where(close, U(0), U(1) << U(63)) | (h >> U(1))
@@ -86,27 +86,18 @@ def _units(data: np.ndarray, offsets: np.ndarray, long_words: int) -> tuple[np.n
     return row[to], first, to, chars[starts[first]] - base, chars[stops[to]] - base, h
 
 
-def _spans(data: np.ndarray, offsets: np.ndarray, min_units: int, min_words: int, long_words: int) -> tuple[np.ndarray, ...]:
-    """Of the rows' folded bytes: row, hash, start and end of the span that starts at each unit, where there is one, and of those at the rows' ends."""
-    row, first, to, start, end, h = _units(data, offsets, long_words)
-    n = len(row)
-    j = np.maximum(np.searchsorted(to, first + min_words - 1), np.arange(n) + max(1, min_units) - 1)
-    i = np.flatnonzero(j < n)
-    i = i[row[j[i]] == row[i]]
-    final = np.flatnonzero(np.append(row[1:] != row[:-1], True)) if n else i
-    k = np.minimum(np.searchsorted(first, to[final] - min_words + 1, "right"), final - max(1, min_units) + 2) - 1
-    short = (k >= 0) & (row[k] == row[final]) & (j[k] < final)
-    i, j = np.concatenate([i, k[short]]), np.concatenate([j[i], final[short]])
+def _spans(data: np.ndarray, offsets: np.ndarray, run: int, longest: int) -> tuple[np.ndarray, ...]:
+    """Of the rows' folded bytes: row, hash, start and end of each run of sentences."""
+    row, first, to, start, end, h = _units(data, offsets, longest)
+    i = np.arange(max(0, len(row) - run + 1))
+    i = i[row[i] == row[i + run - 1]]
+    j = i + run - 1
+    mult = at.mix(np.arange(1, run * longest + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
     size = to[j] - first[i] + 1
-    longest = int(size.max(initial=0))
-    mult = at.mix(np.arange(1, longest + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
     total = size.astype(U)
-    for k in range(longest):
-        if k < min_words and k < size.min():
-            total += h[first[i] + k] * mult[k]
-        else:
-            more = np.flatnonzero(size > k)
-            total[more] += h[first[i[more]] + k] * mult[k]
+    for k in range(int(size.max(initial=0))):
+        more = np.flatnonzero(size > k)
+        total[more] += h[first[i[more]] + k] * mult[k]
     return row[i], at.mix(total).view(np.int64), start[i], end[j]
 
 
@@ -115,70 +106,65 @@ def _bytes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return data, np.array([0, len(data)])
 
 
-def units(text: str, long_words: int = 16) -> list[tuple[int, int, int]]:
-    """(start, end, words) of each unit; together they cover the text from its first word on."""
-    _, first, to, start, end, _ = _units(*_bytes(text), long_words)
+def units(text: str, longest: int = 7) -> list[tuple[int, int, int]]:
+    """(start, end, words) of each sentence; together they cover the text from its first word on."""
+    _, first, to, start, end, _ = _units(*_bytes(text), longest)
     return list(zip(start.tolist(), end.tolist(), (to - first + 1).tolist(), strict=True))
 
 
-def spans(text: str, min_units: int = 2, min_words: int = 20, long_words: int = 16) -> list[tuple[int, int, int]]:
+def spans(text: str, run: int = 4, longest: int = 7) -> list[tuple[int, int, int]]:
     """(hash, start, end) of the spans of one text."""
-    _, h, start, end = _spans(*_bytes(text), min_units, min_words, long_words)
+    _, h, start, end = _spans(*_bytes(text), run, longest)
     return list(zip(h.tolist(), start.tolist(), end.tolist(), strict=True))
 
 
-def _emit(min_units: int, min_words: int, long_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = (pa.record_batch([b.column("__id"), b.column("__th"), folded(b.column("__text"))], names=["__id", "__th", "__text"]) for b in batches)
+def _emit(run: int, longest: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["__id", "__th", "__ref"]
+        plain = (pa.record_batch([*(b.column(n) for n in names), folded(b.column("__text"))], names=[*names, "__text"]) for b in batches)
         for part, data, offsets in at.slices(plain, "__text"):
-            row, h, start, end = _spans(data, offsets, min_units, min_words, long_words)
+            row, h, start, end = _spans(data, offsets, run, longest)
             order = np.lexsort((h, row))
             again = np.zeros(len(h), bool)
             again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
             rows = pa.array(row, pa.int64())
-            yield pa.record_batch(
-                [pa.array(h), part.column("__id").take(rows), part.column("__th").take(rows), pa.array(start << 32 | end), pa.array(again)],
-                names=["h", "__id", "__th", "at", "again"],
-            )
+            yield pa.record_batch([pa.array(h), *(part.column(n).take(rows) for n in names), pa.array(start << 32 | end), pa.array(again)], names=["h", *names, "at", "again"])
 
-    return run
+    return emit
 
 
-def repeated(docs: DataFrame, min_units: int = 2, min_words: int = 20, long_words: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated(docs: DataFrame, run: int = 4, longest: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(__id, __th, __cut): the ranges of each (id, text hash) that an earlier span holds already."""
-    src = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__th"), F.col(text).alias("__text"))
+    src = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__th"), F.monotonically_increasing_id().alias("__ref"), F.col(text).alias("__text"))
     i64 = T.LongType()
-    schema = T.StructType([T.StructField("h", i64), src.schema["__id"], T.StructField("__th", i64), T.StructField("at", i64), T.StructField("again", T.BooleanType())])
-    occ = cut(src.mapInArrow(_emit(min_units, min_words, long_words), schema), "spans")
-    heads = occ.where("not again").select("h", "__id", "__th", "at")
+    schema = T.StructType([T.StructField("h", i64), src.schema["__id"], T.StructField("__th", i64), T.StructField("__ref", i64), T.StructField("at", i64), T.StructField("again", T.BooleanType())])
+    occ = cut(src.mapInArrow(_emit(run, longest), schema), "spans")
+    # a row's number stands for its id and text hash until few spans are left
+    heads = occ.where("not again").select("h", "__ref", "at")
     # rows that share id and text count here as well; the comparison below keeps them
     many = heads.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    shared = cut(heads.join(many, "h"), "shared-spans")
+    named = occ.select("__ref", "__id", "__th").distinct()
+    shared = cut(heads.join(many, "h").join(named, "__ref").select("h", "__id", "__th", "at"), "shared-spans")
     # the least text hash of the least id; nulls only where no row has an id
     least = shared.groupBy("h").agg(F.min("__id").alias("first"))
     least = shared.join(least, "h").where("__id <=> first").groupBy("h", "first").agg(F.min("__th").alias("th"))
     later = shared.join(least, "h").where("not (__id <=> first and __th = th)").select("__id", "__th", "at")
     later = later.unionByName(occ.where("again").select("__id", "__th", "at"))
-    span = F.struct(F.shiftright("at", 32).cast("int").alias("start"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("stop"))
+    span = F.struct(F.shiftright("at", 32).alias("start"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("end"))
     ranges = cut(later.groupBy("__id", "__th").agg(F.array_sort(F.collect_set(span)).alias("__cut")), "ranges")
-    discard(occ)
+    discard(occ, shared)
     return ranges
 
 
-def remove_repeated(docs: DataFrame, min_units: int = 2, min_words: int = 20, long_words: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated spans cut out of ``text``; ``__cut`` lists the ranges cut (null: none)."""
-    ranges = repeated(docs, min_units, min_words, long_words, doc_id, text)
-    left = F.aggregate(
-        "__cut",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, s: F.struct(
-            F.when(s["start"] > a["at"], F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]))).otherwise(a["out"]).alias("out"),
-            F.greatest(a["at"], s["stop"]).alias("at"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.lit(2147483647))),
-    )
-    joined = docs.join(ranges, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__th")), "left")
-    return joined.withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(left)).select(*docs.columns, "__cut")
+def remove_repeated(docs: DataFrame, run: int = 4, longest: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with repeated spans cut out of ``text``; one more column, ``__cut`` (with more
+    underscores where ``docs`` has one so named), lists the ranges cut (null: none)."""
+    names = docs.columns
+    i, h, ranges = (fresh(n, *names) for n in ("__id", "__th", "__cut"))
+    found = repeated(docs, run, longest, doc_id, text).toDF(i, h, ranges)
+    joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text)) == F.col(h)), "left")
+    left = F.when(F.col(ranges).isNull(), F.col(text)).otherwise(without(F.col(text), F.col(ranges)))
+    return joined.withColumn(text, left).select(*[F.col(f"`{n}`") for n in names], ranges)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicates, substring dedup and decontamination against brute force."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -178,13 +179,48 @@ def test_components(spark):
 PASSAGE = "The first planted sentence has some words in it. Another one follows here, longer than the first by far and away. And a third one closes the passage with a few more words than needed for the test to pass at all."
 
 
-def brute_cut(rows, min_units=2, min_words=20):
+def plain_sentences(text, longest=7):
+    """(words, start, end) of each sentence, cut by the rule as the docstring states it, word by word."""
+    found = [(m.start(), m.end()) for m in re.finditer(r"\S+", text) if re.search(r"[A-Za-z0-9\u0080-\U0010ffff]", m.group())]
+    if not found:
+        return []
+    stops = [b for b, _ in found[1:]] + [len(text)]
+    words, closes = [], []
+    for (a, _), stop in zip(found, stops, strict=True):
+        own = text[a:stop]
+        tail = max(k for k, c in enumerate(own) if c.isalnum() or c > "\x7f") + 1
+        words.append(own.split()[0].lower())
+        closes.append(any(c in ".!?\n" for c in own[tail:]))
+    key = [(not c, int(v) >> 1) for c, v in zip(closes, word_hashes(words), strict=True)]
+    cuts = {k for k, c in enumerate(closes) if c} | {len(words) - 1}
+    for k in range(len(words) - longest + 1):
+        cuts.add(min(range(k, k + longest), key=lambda x: (key[x], x)))
+    out, first = [], 0
+    for c in sorted(cuts):
+        out.append((tuple(words[first : c + 1]), found[first][0], stops[c]))
+        first = c + 1
+    return out
+
+
+def word_hashes(words):
+    from lodestone.llm import arrowtext as at
+
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = at.words(data, np.array([0, len(data)]))
+    return at.word_hashes(data, starts, ends, at.byte_codes(fold=False))
+
+
+def brute_cut(rows, run=4):
+    """Every run of sentences, as words, held against all earlier ones."""
     first, occ = {}, []
     for i, t in sorted(rows):
-        for h, a, b in substrings.spans(t or "", min_units, min_words):
-            if h in first and first[h] != (i, a):
-                occ.append((i, a, b))
-            first.setdefault(h, (i, a))
+        s = plain_sentences(t or "")
+        for k in range(len(s) - run + 1):
+            words = tuple(w for part in s[k : k + run] for w in part[0])
+            if words in first:
+                occ.append((i, s[k][1], s[k + run - 1][2]))
+            else:
+                first[words] = i
     out = {}
     for i, t in rows:
         drop = [False] * len(t or "")
@@ -199,11 +235,13 @@ def test_repeated_passages_go_but_for_the_first(spark):
     rng = random.Random(9)
     filler = lambda: " ".join(f"z{rng.randrange(10**6)}" for _ in range(30)) + ". "
     rows = [(i, filler() + PASSAGE + " " + filler()) for i in range(6)] + [(10, filler() + filler()), (11, None), (12, ""), (13, "short. text."), (14, PASSAGE + "\n" + PASSAGE)]
+    rows += [(15, "One two. Three four! Five six? Seven eight."), (16, filler() + "One two. Three four! Five six? Seven eight.\n" + filler())]
     rows += [(20 + i, filler() + " ".join(f"n{k}" for k in range(120)) + " " + filler()) for i in range(3)]
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, start string")
     out = {r["doc_id"]: r["text"] for r in substrings.remove_repeated(docs).collect()}
     assert out == brute_cut(rows)
     assert PASSAGE in out[0] and all(PASSAGE[:60] not in out[i] for i in range(1, 6)) and out[10] == dict(rows)[10] and out[11] is None
+    assert "Five six" in out[15] and "Five six" not in out[16]
     assert all("n60 n61 n62" not in out[20 + i] for i in (1, 2))
 
 
@@ -262,7 +300,16 @@ def test_texts_without_id_or_of_one_id_count_against_one_another(spark):
 
 def test_units_stand_alike_in_any_case_and_blank():
     assert [h for h, *_ in substrings.spans(PASSAGE.replace("first", "\u00c4RGER"))] == [h for h, *_ in substrings.spans(PASSAGE.upper().replace("FIRST", "\u00e4rger").replace(" ", "\u00a0"))]
-    assert max(n for *_, n in substrings.units("w " * 40 + PASSAGE)) <= 8
+    assert max(n for *_, n in substrings.units("w " * 40 + PASSAGE)) <= 7
+
+
+def test_substring_columns_of_any_name_and_very_long_texts(spark):
+    long = " ".join(f"w{k % 9973}_{k % 17}" for k in range(150_000))
+    docs = spark.createDataFrame([(1, long, 5, "a", "b"), (2, "short tail. " + long, 6, "c", "d")], "doc_id long, text string, __id int, __th string, __cut string")
+    got = substrings.remove_repeated(docs)
+    assert got.columns == [*docs.columns, "__cut_"]
+    out = {r["doc_id"]: r for r in got.collect()}
+    assert out[1]["text"] == long and len(out[2]["text"].split()) <= 2 + 7 and out[2]["text"].startswith("short tail.") and (out[2]["__id"], out[2]["__cut"]) == (6, "d")
 
 
 # --- decontamination -------------------------------------------------------------
@@ -303,6 +350,30 @@ def test_edited_items_are_found(spark):
     assert all(got[p] == want[p] for p in got if want[p] == 0)
 
 
+def test_every_place_is_reported(spark):
+    rng = random.Random(77)
+    vocab = [f"v{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    item, other = text(25), text(18)
+    near = item.split()
+    near[4], near[11] = "xx", "yy"
+    docs = {
+        1: f"{item} {item}", 2: f"{text(9)} {item} {text(60)} {item} {text(3)} {item}", 3: " ".join([*near, item, *near]),
+        4: f"{item} {' '.join(near)} {other} {item}", 5: text(500), 6: " ".join([item] * 400), 7: "v1 " * 30_000,
+    }
+    tables = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame([(1, item), (2, other), (3, "v1 " * 20)], "item_id long, text string")
+    found = decontam.find(*tables).collect()
+    count = {}
+    for r in found:
+        count[r["doc_id"], r["item_id"]] = count.get((r["doc_id"], r["item_id"]), 0) + 1
+        w = decontam.words(docs[r["doc_id"]])[r["first_word"] : r["stop_word"]]
+        assert r["edits"] == levenshtein_within(decontam.words([item, other, "v1 " * 20][r["item_id"] - 1]), w)
+    assert count == {(1, 1): 2, (2, 1): 3, (3, 1): 3, (4, 1): 3, (4, 2): 1, (6, 1): 400, (7, 3): 1500}
+    for key in count:
+        at = sorted((r["first_word"], r["stop_word"]) for r in found if (r["doc_id"], r["item_id"]) == key)
+        assert all(a[1] <= b[0] for a, b in zip(at, at[1:], strict=False))
+
+
 def test_clean_documents_stay(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x one two three four five six seven eight nine ten y", "a"), (2, "one two three other words entirely here", "b"), (3, None, "c"), (None, "", "d")], "doc_id long, text string, edits string")
