@@ -161,3 +161,19 @@ def listed(spans: Column) -> Column:
 
 def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
+def bounded(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(o, y, text) of at most ``max_rows`` labelled rows with at most ``max_bytes`` of text, those of least
+    hash ``o`` of the id, and the scratch table to discard when they have been read."""
+    marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    sample = marked.select(F.col("doc_id").alias("id"), "y", F.xxhash64("doc_id").alias("o")).orderBy("o", "id").limit(max_rows)
+    own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+    pool = cut(own.groupBy("id", "y", "o").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "training")
+    left, taken = max_bytes, []
+    for row in pool.select("id", "o", F.octet_length("text").alias("n")).orderBy("o", "id").toLocalIterator():
+        if row["n"] <= left:
+            left -= row["n"]
+            taken.append((row["id"],))
+    chosen = docs.sparkSession.createDataFrame(taken, pool.select("id").schema)
+    return pool.join(F.broadcast(chosen), "id").select("o", "y", "text"), pool

@@ -7,12 +7,14 @@ signed hash of its words; a learned layer encodes that, gated attention
 weighted mean.  Only labels of whole documents train it, so that the attention
 has to find the passages that decide.
 
-Training reads a bounded sample of labelled rows (``max_rows``, by a hash of the
-id; documented bound).  Scoring reads every whole text in bounded slices.  The
+Training reads a bounded sample of labelled rows, by a hash of the id: at most ``max_rows``
+rows and ``max_bytes`` of text (documented bounds; a text that does not fit into what is left is passed over),
+so that the passages sent to the driver are bounded too.  Scoring reads every whole text in bounded slices.  The
 model is a few thousand numbers whatever the corpus.
 
 Defined results: a null or empty text is a bag of one blank passage and is
-scored; null labels are not used; a label row that repeats counts once; without
+scored; a very long text is one large bag; null labels are not used; a label row that repeats counts once, and
+a document with different labels by the greatest; of an id with several texts the one of least hash trains; without
 labels of both kinds the score is their mean (0.5 without any); an empty table
 gives an empty result; other columns are ignored.
 """
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as at
+from .common import bounded, discard
 
 PASSAGE = 64
 HASHED = 16
@@ -169,20 +172,11 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([rows.column("o"), rows.column("y"), flat], names=["o", "y", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> AttentionMil:
-    """Fit on at most ``max_rows`` labelled rows that are not held out, those of least hash of the id."""
-    marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    sample = marked.select(F.col("doc_id").alias("__id"), "y", F.xxhash64("doc_id").alias("o")).orderBy("o", "__id").limit(max_rows)
-    rows = (
-        docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"))
-        .join(F.broadcast(sample), "__id")
-        .dropDuplicates(["__id"])
-        .select("o", "y", "text")
-        .mapInArrow(_bags, "o bigint, y int, x array<float>")
-        .toArrow()
-        .sort_by("o")
-        .combine_chunks()
-    )
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 32 << 20, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> AttentionMil:
+    """Fit on a bounded sample of labelled rows that are not held out, those of least hash of the id."""
+    sample, pool = bounded(docs, labels.where(~held_out()), label, max_rows, max_bytes, doc_id, text)
+    rows = sample.mapInArrow(_bags, "o bigint, y int, x array<float>").toArrow().sort_by("o").combine_chunks()
+    discard(pool)
     if not len(rows):
         return fit(np.zeros((0, N_FEATURES), np.float32), np.zeros(1, np.int64), np.zeros(0))
     col = rows.column("x").combine_chunks()

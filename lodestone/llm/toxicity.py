@@ -1,19 +1,28 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted one after another; each model sees the words of a
-document and the probabilities of the categories before it, which come from
-out-of-fold predictions while training.  The last link is the label itself,
-``toxic``; the earlier ones are the seed-word categories below within rows
-labelled toxic.  A category with too few positive rows predicts its prior.
-
-Training reads a bounded sample of labelled rows (``max_rows``, by a hash of the
-id; documented bound) and keeps ``n_features`` words and word beginnings, those
-most tied to the label.  Scoring reads every whole text.  The model is a
+document and the probabilities of the categories before it.  The last link is the label itself,
+``toxic``.  The labels name no categories, so the earlier links learn weak labels: rows
+labelled toxic that hold one of the category's seed words below.  A category with too few
+positive rows predicts its prior.
+
+Whatever a later link sees in training is out of fold.  The rows are dealt into folds; for
+each fold a whole chain is fitted on the other folds - words chosen and weighed there, its own
+links fed with probabilities out of its own, inner folds - and predicts the fold.
+The final chain chooses its words on all rows and learns each link with these probabilities
+as inputs; the threshold is set on those of the last link.
+
+Training reads a bounded sample of labelled rows, by a hash of the id: at most ``max_rows``
+rows and ``max_bytes`` of text (documented bounds; a text that does not fit into what is left is passed over).  It keeps
+``n_features`` words and word beginnings, those
+most tied to the label, for it or against it.  Scoring reads every whole text.  The model is a
 few thousand numbers whatever the corpus.
 
 Defined results: a null or empty text scores the priors; null labels are not
-used; a label row that repeats counts once; without labels of both kinds nothing
-is rejected; an empty table gives an empty result; other columns pass through.
+used; a label row that repeats counts once, and a document with different labels as toxic; of an id with several
+texts the one of least hash trains; without labels of both kinds nothing
+is rejected; very long texts are scored whole, one at a time; an empty table gives an empty result; other columns pass
+through, whatever their names (where one is named like an output, the output gets more underscores).
 """
 
 from __future__ import annotations
@@ -30,7 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Common English insults and threats by category, a weak signal for the chain's first links.
+from .common import bounded, discard, fresh
+
+#: Common English insults and threats by category, the weak labels of the chain's first links.
 SEEDS = {
     "insult": "idiot moron stupid dumb fool imbecile clown loser jerk",
     "contempt": "pathetic worthless disgusting useless hopeless disgrace",
@@ -85,6 +96,8 @@ class Chain:
     threshold: float = 1.1
     #: columns of words met so far; emptied when large
     seen: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    #: the training rows' out-of-fold probabilities
+    probs: np.ndarray | None = None
 
     def matrix(self, texts: list[str]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.index)))
@@ -102,71 +115,117 @@ class Chain:
 
     def proba(self, x: np.ndarray) -> np.ndarray:
         """Probability of each category, in the chain's order."""
-        out = np.zeros((len(x), len(self.weights)))
-        for k, w in enumerate(self.weights):
-            out[:, k] = _sigmoid(np.hstack([x, out[:, :k]]) @ w[:-1] + w[-1])
-        return out
-
-
-def fit(texts: list[str], toxic: np.ndarray, n_features: int = 800, folds: int = 4, least: int = 8) -> Chain:
+        return _predict(self.weights, x)
+
+
+def _seeded(found: set[str]) -> list[bool]:
+    return [not found.isdisjoint(words.split()) for words in SEEDS.values()]
+
+
+class Sample:
+    """The labelled texts as numbered features: of each row the numbers, sorted."""
+
+    def __init__(self, texts: list[str], toxic: np.ndarray) -> None:
+        self.y = np.asarray(toxic, float)
+        number: dict[str, int] = {}
+        self.rows, seeded = [], []
+        for text in texts:
+            found = features(text)
+            seeded.append(_seeded(found))
+            self.rows.append(np.sort(np.array([number.setdefault(f, len(number)) for f in found], np.int32)))
+        self.names = sorted(number)
+        self.rank = np.empty(len(number), np.int64)
+        self.rank[[number[f] for f in self.names]] = np.arange(len(number))
+        self.names = list(number)
+        weak = np.array(seeded, float).reshape(len(self.y), len(SEEDS)) * self.y[:, None]
+        self.targets = np.hstack([weak, self.y[:, None]])
+
+    def choose(self, part: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+        """The features most tied to the label among the rows ``part``, and their weights."""
+        y = self.y[part] > 0
+        counts = [np.bincount(np.concatenate([self.rows[r] for r in part[y == kind]] or [np.zeros(0, np.int32)]), minlength=len(self.names)) for kind in (True, False)]
+        often = np.flatnonzero(counts[0] + counts[1] >= 3)
+        hit, miss = (c[often] + 0.5 for c in counts)
+        ratio = np.log((hit / (y.sum() + 1)) / (miss / ((~y).sum() + 1)))
+        z = np.abs(ratio) / np.sqrt(1 / hit + 1 / miss)
+        # ties by name, so that the order of the texts does not matter
+        order = np.lexsort((self.rank[often], -z))[:n_features]
+        return often[order], np.abs(ratio[order])
+
+    def matrix(self, part: np.ndarray, chosen: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        place = np.full(len(self.names) + 1, -1)
+        place[chosen] = np.arange(len(chosen))
+        x = np.zeros((len(part), len(chosen)), np.float32)
+        for k, r in enumerate(part):
+            at = place[self.rows[r]]
+            at = at[at >= 0]
+            x[k, at] = scale[at]
+        return x
+
+
+def _link(x: np.ndarray, target: np.ndarray, least: int) -> np.ndarray:
+    """The weights of one link; of a category with too few rows of a kind, its prior alone."""
+    if min(target.sum(), len(target) - target.sum()) >= least:
+        return fit_linear(x, target)
+    rate = (target.sum() + 0.5) / (len(target) + 1)
+    return np.append(np.zeros(x.shape[1], x.dtype), math.log(rate / (1 - rate)))
+
+
+def _deal(n: int, folds: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(other rows, own rows) of each fold."""
+    fold = np.arange(n) % folds
+    return [(np.flatnonzero(fold != f), np.flatnonzero(fold == f)) for f in range(folds)]
+
+
+def out_of_fold(data: Sample, part: np.ndarray, n_features: int, folds: tuple[int, ...], least: int) -> np.ndarray:
+    """Each link's probability of the rows ``part``, by chains that have not seen the row."""
+    probs = np.zeros((len(part), len(CHAIN)))
+    for rest, own in _deal(len(part), folds[0]):
+        chosen, scale, weights = chain(data, part[rest], n_features, folds[1:], least)
+        probs[own] = _predict(weights, data.matrix(part[own], chosen, scale))
+    return probs
+
+
+def chain(data: Sample, part: np.ndarray, n_features: int, folds: tuple[int, ...], least: int, probs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Features, their scale and the links' weights, learned on the rows ``part`` alone.
+
+    ``probs`` are the rows' out-of-fold probabilities.  Where they are not given and no inner folds are left,
+    the links are dealt once more: each learns from the earlier links' predictions in the other half.
+    """
+    chosen, scale = data.choose(part, n_features)
+    x, targets = data.matrix(part, chosen, scale), data.targets[part]
+    if probs is None and folds:
+        probs = out_of_fold(data, part, n_features, folds, least)
+    if probs is None:
+        probs = np.zeros((len(part), len(CHAIN)))
+        for rest, own in _deal(len(part), 2):
+            columns, weigh = data.choose(part[rest], n_features)
+            near, far = data.matrix(part[rest], columns, weigh), data.matrix(part[own], columns, weigh)
+            for k in range(len(CHAIN) - 1):
+                w = _link(near, targets[rest, k], least)
+                probs[own, k] = _sigmoid(far @ w[:-1] + w[-1])
+    probs = probs.astype(np.float32)
+    return chosen, scale, [_link(np.hstack([x, probs[:, :k]]), targets[:, k], least) for k in range(len(CHAIN))]
+
+
+def _predict(weights: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(weights)))
+    for k, w in enumerate(weights):
+        out[:, k] = _sigmoid(np.hstack([x, out[:, :k]]) @ w[:-1] + w[-1])
+    return out
+
+
+def fit(texts: list[str], toxic: np.ndarray, n_features: int = 800, folds: int = 3, least: int = 8) -> Chain:
     """A chain from labelled texts."""
     y = np.asarray(toxic, float)
     if len(y) < 2 or y.min() == y.max():
         return Chain(weights=[], threshold=1.1)
-    # two passes over the texts: the features of one text at a time are held
-    hits: dict[str, int] = {}
-    total: dict[str, int] = {}
-    seeded = {name: np.zeros(len(y)) for name in SEEDS}
-    for r, (text, label) in enumerate(zip(texts, y, strict=True)):
-        found = features(text)
-        for f in found:
-            total[f] = total.get(f, 0) + 1
-        if label:
-            for f in found:
-                hits[f] = hits.get(f, 0) + 1
-            for name, words in SEEDS.items():
-                seeded[name][r] = not found.isdisjoint(words.split())
-    n, pos = len(y), y.sum()
-    scored = []
-    for f in hits:
-        t = total[f]
-        if t < 3:
-            continue
-        p, q = (hits.get(f, 0) + 0.5) / (pos + 1), (t - hits.get(f, 0) + 0.5) / (n - pos + 1)
-        if p <= q:
-            continue
-        z = math.log(p / q) / math.sqrt(1 / (hits.get(f, 0) + 0.5) + 1 / (t - hits.get(f, 0) + 0.5))
-        scored.append((-z, f, math.log(p / q)))
-    scored.sort()
-    chosen = scored[:n_features]
-    model = Chain(index={f: i for i, (_, f, _) in enumerate(chosen)}, scale=np.array([r for *_, r in chosen]))
-    x = np.zeros((n, len(chosen)), np.float32)
-    del total, hits
-    for r, text in enumerate(texts):
-        for f in features(text):
-            c = model.index.get(f)
-            if c is not None:
-                x[r, c] = model.scale[c]
-    fold = np.arange(n) % folds
-    probs = np.zeros((n, 0))
-    for name in CHAIN:
-        target = y if name == "toxic" else seeded[name]
-        inputs = np.hstack([x, probs.astype(np.float32)])
-        if min(target.sum(), n - target.sum()) < least and name != "toxic":
-            rate = (target.sum() + 0.5) / (n + 1)
-            w = np.zeros(inputs.shape[1] + 1)
-            w[-1] = math.log(rate / (1 - rate))
-            oof = np.full(n, rate)
-        else:
-            oof = np.zeros(n)
-            for f in range(folds):
-                part = fit_linear(inputs[fold != f], target[fold != f])
-                oof[fold == f] = _sigmoid(inputs[fold == f] @ part[:-1] + part[-1])
-            w = fit_linear(inputs, target)
-        model.weights.append(w)
-        probs = np.hstack([probs, oof[:, None]])
-    model.threshold = _threshold(probs[:, -1], y)
-    return model
+    data = Sample(texts, y)
+    every = np.arange(len(y))
+    probs = out_of_fold(data, every, n_features, (folds,), least)
+    chosen, scale, weights = chain(data, every, n_features, (), least, probs)
+    index = {data.names[f]: k for k, f in enumerate(chosen)}
+    return Chain(index, scale, weights, _threshold(probs[:, -1], y), probs=probs)
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -179,48 +238,49 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip(np.median(edges[best]), 0.2, 0.8))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, doc_id: str = "doc_id", text: str = "text") -> Chain:
-    """Fit on at most ``max_rows`` labelled rows, those of least hash of the id."""
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
-    sample = marked.select(F.col("doc_id").alias("__id"), "__toxic", F.xxhash64("doc_id").alias("__o")).orderBy("__o", "__id").limit(max_rows)
-    rows = (
-        docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-        .join(F.broadcast(sample), "__id")
-        .dropDuplicates(["__id"])
-        .select("__o", "__toxic", "__text")
-        .toArrow()
-        .sort_by("__o")
-    )
-    return fit(rows.column("__text").to_pylist(), np.array(rows.column("__toxic").to_pylist(), float))
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text") -> Chain:
+    """Fit on a bounded sample of labelled rows, those of least hash of the id."""
+    rows, pool = bounded(docs, labels, "toxic", max_rows, max_bytes, doc_id, text)
+    found = rows.toArrow().sort_by("o")
+    discard(pool)
+    return fit(found.column("text").to_pylist(), np.array(found.column("y").to_pylist(), float))
 
 
-def _score(model: Chain, chunk: int = 256):
+def _score(model: Chain, text: str, chunk: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, chunk):
                 part = batch.slice(at, chunk)
-                p = model.proba(model.matrix(pc.fill_null(part.column("__text"), "").to_pylist()))
+                p = model.proba(model.matrix(pc.fill_null(part.column(text), "").to_pylist()))
                 if not p.shape[1]:
                     p = np.zeros((part.num_rows, len(CHAIN)))
-                keep = [c for c in part.schema.names if c != "__text"]
-                yield pa.record_batch(
-                    [*(part.column(c) for c in keep), *(pa.array(p[:, k]) for k in range(len(CHAIN))), pa.array((p[:, -1] >= model.threshold))],
-                    names=[*keep, *(f"__p_{c}" for c in CHAIN), "__reject"],
-                )
+                more = [*(pa.array(p[:, k]) for k in range(len(CHAIN))), pa.array(p[:, -1] >= model.threshold)]
+                yield pa.record_batch([*part.columns, *more], names=[*part.schema.names, *(f"__{k}__" for k in range(len(more)))])
 
     return run
 
 
+def _outputs(names: list[str]) -> list[str]:
+    return [fresh(n, *names) for n in [*(f"__p_{c}" for c in CHAIN), "__reject"]]
+
+
 def score(docs: DataFrame, model: Chain, text: str = "text") -> DataFrame:
     """``docs`` with a probability for each category (``__p_<category>``) and ``__reject``."""
-    src = docs.withColumn("__text", F.col(text))
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"__p_{c}", T.DoubleType()) for c in CHAIN), T.StructField("__reject", T.BooleanType())])
-    return src.mapInArrow(_score(model), schema)
+    kinds = [T.DoubleType()] * len(CHAIN) + [T.BooleanType()]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(_outputs(docs.columns), kinds, strict=True))])
+    run = _score(model, text)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch.rename_columns(schema.names)
+
+    return docs.mapInArrow(named, schema)
 
 
 def digest(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", *[F.col(f"__p_{c}").alias(f"p_{c}") for c in CHAIN], F.col("__reject").alias("toxic"))
 
 
-def keep_clean(docs: DataFrame, model: Chain) -> DataFrame:
-    return score(docs, model).where(~F.col("__reject")).select(*docs.columns)
+def keep_clean(docs: DataFrame, model: Chain, text: str = "text") -> DataFrame:
+    reject = _outputs(docs.columns)[-1]
+    return score(docs, model, text).where(~F.col(reject)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -47,6 +47,8 @@ def test_each_stage_does_its_part(spark, planted):
     bins = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert sorted({d for r in bins for d in r["doc_ids"]}) == sorted(kept["secrets"])
     assert sum(r["used"] for r in bins) == sum(len(t.encode()) for t in kept["secrets"].values())
+    held = b"".join(bytes(r["payload"]) for r in bins)
+    assert b"token" not in held and held.count(b"[SECRET]") == 1 and all(len(r["payload"]) == r["used"] for r in bins)
     ran = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r["bin_id"] for r in ran) == sorted(r["bin_id"] for r in bins)
     assert minhash.BANDS == 40 and packing.CAPACITIES[-1] == 8192
