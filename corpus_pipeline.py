@@ -34,8 +34,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left: one row per sequence, with its documents in order."""
-    return packing.sequences(packing.plan(docs))
+    """Pack what is left: one row per sequence, with its documents in order and their (masked) bytes."""
+    return packing.filled(docs, packing.plan(docs))
 
 
 STAGES = [
@@ -53,5 +53,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = cut(stage(spark, docs, sf_dir), name, keep=True)
     return docs
