@@ -11,14 +11,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .constants import FORMAT_VERSION
+from .constants import ANN_FROM, FORMAT_VERSION
 from .embed import Embedder, HashingEmbedder, embed_chunks
 from .functions import text as tx
 from .functions import vectors
 from .operators import chunk, graph, hierarchy, incremental, lexical
+from .operators.ann import Cells
 from .plans.planner import Lexicon, SearchOptions, fields_of, rank_remote, remote_fetch_size, search
 from .sources import repo
-from .sources.remote import RemoteStore, push
+from .sources.remote import RemoteStore, push, withdraw
 from .sources.store import Snapshot, Store, check_model, worktree_main
 from .streaming import watch as streams
 
@@ -88,14 +89,15 @@ class Engine:
         ranked = chunks.withColumn("chunk_idx", F.xxhash64("id"))
         embedded = embed_chunks(ranked, self.embedder, cache).withColumn("bits", vectors.quantise(F.col("vector")))
         named = graph.chunk_symbol_names(g.symbols, embedded).persist()
+        cells = Cells.fit(named) if named.count() >= ANN_FROM else None
         fields = fields_of(named)
         files = hierarchy.files(named)
         tables = {
-            "chunks": named, "postings": lexical.postings(named, "chunk_idx", fields), "lengths": lexical.lengths(named, "chunk_idx", fields),
+            "chunks": named if cells is None else cells.assign(named), "postings": lexical.postings(named, "chunk_idx", fields), "lengths": lexical.lengths(named, "chunk_idx", fields),
             "symbols": g.symbols, "edges": g.edges, "imports": g.imports, "files": files, "directories": hierarchy.directories(files),
         }
         hits = 0 if cache is None else chunks.join(cache.select("hash"), "hash", "left_semi").count()
-        snap = self.store.save(tables, self.root, self.embedder.dimension, self.embedder.name, n_files)
+        snap = self.store.save(tables, self.root, self.embedder.dimension, self.embedder.name, n_files, cells=cells)
         named.unpersist()
         return Report(mode, n_files, snap.metadata["total_chunks"], hits, {**seconds, "build": time.time() - t})
 
@@ -116,7 +118,7 @@ class Engine:
         options = options or SearchOptions()
         snap = self.snapshot()
         lexicon = Lexicon(snap.table("postings"), snap.table("lengths"))
-        found = search(snap.table("chunks"), query, self._embed, options, snap.metadata["total_chunks"], lexicon)
+        found = search(snap.table("chunks"), query, self._embed, options, snap.metadata["total_chunks"], lexicon, snap.cells)
         return found.withColumn("snippet", tx.snippet(F.col("text"), options.full_context))
 
     def search_files(self, query: str, limit: int = 10) -> DataFrame:
@@ -142,16 +144,26 @@ class Engine:
     def push(self, remote: RemoteStore, reset: bool = False) -> None:
         push(self.snapshot().table("chunks"), remote, reset)
 
+    def push_changes(self, remote: RemoteStore, before: Snapshot | None) -> None:
+        """Upload the chunks that are new or moved since ``before`` and delete the ones that are gone."""
+        now, place = self.snapshot().table("chunks"), ["hash", "start_line", "end_line"]
+        if before is None:
+            push(now, remote, reset=True)
+            return
+        old = before.table("chunks")
+        push(now.join(old.select(*place), place, "left_anti"), remote)
+        withdraw(old.join(now.select("hash"), "hash", "left_anti"), remote)
+
     def watch(self, events_folder: str, checkpoint: str, remote: RemoteStore | None = None, once: bool = False):
         """Keep the index fresh from a stream of notifications; builds a first one where there is none."""
         if self.store.current() is None:
             self.index()
 
         def apply(changes: DataFrame) -> None:
-            inside = F.udf(lambda p: repo.relative(p, self.root))
-            self.index(changes=changes.withColumn("path", inside("path")))
+            before = self.store.current()
+            self.index(changes=changes.withColumn("path", repo.below(F.col("path"), self.root)))
             if remote is not None:
-                self.push(remote, reset=True)
+                self.push_changes(remote, before)
 
         return streams.run(streams.read_events(self.spark, events_folder), apply, checkpoint, once=once)
 

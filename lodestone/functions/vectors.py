@@ -37,15 +37,9 @@ def truncate(a: Column, dim: int) -> Column:
 def quantise(a: Column) -> Column:
     """Sign bits in 64-bit words, lowest bit first; zero is not positive."""
     words = F.sequence(F.lit(0), F.ceil(F.size(a) / WORD).cast("int") - 1)
+    signs = lambda w: F.transform(F.slice(a, w * WORD + 1, F.lit(WORD)), lambda x: F.when(x > 0, F.lit("1")).otherwise(F.lit("0")))
     return F.when(F.size(a) == 0, F.expr("cast(array() as array<bigint>)")).otherwise(
-        F.transform(
-            words,
-            lambda w: F.aggregate(
-                F.sequence(F.lit(0), F.least(F.lit(WORD), F.size(a) - w * WORD) - 1),
-                F.lit(0).cast("bigint"),
-                lambda s, i: s.bitwiseOR(F.when(F.get(a, w * WORD + i) > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))),
-            ),
-        )
+        F.transform(words, lambda w: F.conv(F.array_join(F.reverse(signs(w)), ""), 2, -10).cast("bigint"))
     )
 
 

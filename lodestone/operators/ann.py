@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import ANN_OVERSAMPLE, BINARY_OVERSAMPLE
@@ -29,19 +35,74 @@ def oversampled(df: DataFrame, query: Column, limit: int, vector: str = "vector"
     return exact(df, query, ANN_OVERSAMPLE * limit, vector, key)
 
 
-def lsh_model(df: DataFrame, vector: str = "vector", bucket: float = 0.5, tables: int = 12, seed: int = 11):
-    """Random-projection hashing for an approximate opt-in path: (model, rows with unit vectors)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    rows = df.withColumn("__unit", array_to_vector(vectors.l2_normalise(F.col(vector))))
-    return BucketedRandomProjectionLSH(inputCol="__unit", outputCol="__hash", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows), rows
-
-
-def lsh_search(model, rows: DataFrame, query: list[float], k: int) -> DataFrame:
-    import numpy as np
-    from pyspark.ml.linalg import Vectors
-
-    q = np.asarray(query, float)
-    q = q / (np.linalg.norm(q) or 1)
-    return model.approxNearestNeighbors(rows, Vectors.dense(q), k).drop("__unit", "__hash")
+@dataclass
+class Cells:
+    """An inverted file: every vector lies in the cell of its nearest centre, and a query reads the nearest cells.
+
+    The centres come from k-means over at most ``sample`` rows (a documented bound, chosen by a hash of the
+    key); every row is then given its cell.  Centres are a few thousand numbers and go to the tasks;
+    rows are stored sorted by cell, so that a query's cells are few row groups.
+    """
+
+    centres: np.ndarray
+    probes: int
+
+    @classmethod
+    def fit(cls, df: DataFrame, cells: int | None = None, probes: int | None = None, sample: int = 50_000, vector: str = "vector", key: str = "chunk_idx", seed: int = 11) -> Cells:
+        unit = df.where(F.size(vector) > 0).select(F.xxhash64(key).alias("__o"), array_to_vector(vectors.l2_normalise(F.col(vector))).alias("features"))
+        taken = unit.orderBy("__o").limit(sample).persist()
+        n = taken.count()
+        if not n:
+            return cls(np.zeros((0, 0)), 0)
+        k = min(n, cells or max(1, min(4096, round(n**0.5))))
+        found = KMeans(k=k, seed=seed, maxIter=12).fit(taken) if k > 1 else None
+        centres = np.array(found.clusterCenters()) if found else np.array([taken.first()["features"].toArray()])
+        taken.unpersist()
+        return cls(centres, min(len(centres), probes or max(1, -(-3 * len(centres) // 5))))
+
+    def of(self, vector: Column) -> Column:
+        """The nearest centre of each vector (null without one)."""
+        centres = self.centres
+
+        @F.pandas_udf("int")
+        def nearest(rows: pd.Series) -> pd.Series:
+            out = pd.Series([None] * len(rows), dtype="Int32")
+            there = [i for i, v in enumerate(rows) if v is not None and len(v)]
+            for at in range(0, len(there), 1024):
+                part = there[at : at + 1024]
+                m = np.stack([np.asarray(rows.iloc[i], np.float64) for i in part])
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+                out.iloc[part] = ((centres**2).sum(axis=1) - 2 * m @ centres.T).argmin(axis=1)
+            return out
+
+        return nearest(vector)
+
+    def assign(self, df: DataFrame, vector: str = "vector") -> DataFrame:
+        """``df`` with ``cell``; no row is left out."""
+        return df.withColumn("cell", self.of(F.col(vector)) if len(self.centres) else F.lit(None).cast("int"))
+
+    def near(self, query: list[float]) -> Column:
+        """The rows of the query's ``probes`` nearest cells; a filter that reaches the scan."""
+        q = np.asarray(query, float)
+        q = q / (np.linalg.norm(q) or 1)
+        order = ((self.centres - q) ** 2).sum(axis=1).argsort(kind="stable")[: self.probes] if len(self.centres) else []
+        return F.col("cell").isin([int(c) for c in order])
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(i, [float(x) for x in c], self.probes) for i, c in enumerate(self.centres)]
+        spark.createDataFrame(rows, "cell int, centre array<double>, probes int").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Cells:
+        rows = spark.read.parquet(path).orderBy("cell").collect()
+        return cls(np.array([r["centre"] for r in rows]), rows[0]["probes"]) if rows else cls(np.zeros((0, 0)), 0)
+
+
+def recall(indexed: DataFrame, cells: Cells, queries: list[list[float]], k: int = 10) -> float:
+    """The share of the exact ``k`` nearest rows that the cells give, over a stated list of queries."""
+    hit = total = 0
+    for q in queries:
+        want = {r[0] for r in exact(indexed, vectors.literal(q), k).select("chunk_idx").collect()}
+        got = {r[0] for r in exact(indexed.where(cells.near(q)), vectors.literal(q), k).select("chunk_idx").collect()}
+        hit, total = hit + len(want & got), total + len(want)
+    return hit / total if total else 1.0

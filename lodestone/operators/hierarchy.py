@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,14 +12,10 @@ from .rank import top
 
 
 def mean_pool(df: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
-    """keys, vector (component means) and n rows; sums are pre-combined per key and position."""
-    return (
-        df.select(*keys, F.posexplode(vector).alias("__pos", "__x"))
-        .groupBy(*keys, "__pos")
-        .agg(F.avg("__x").alias("__m"), F.count(F.lit(1)).alias("__n"))
-        .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__m"))), lambda s: s["__m"]).alias(vector), F.max("__n").alias("n"))
-    )
+    """keys, vector (component means) and n rows; whole vectors are summed, pre-combined on the map side."""
+    rows = df.where(F.size(vector) > 0).select(*keys, array_to_vector(F.col(vector)).alias("__v"))
+    summed = rows.groupBy(*keys).agg(Summarizer.metrics("mean", "count").summary(F.col("__v")).alias("__s"))
+    return summed.select(*keys, vector_to_array("__s.mean").alias(vector), F.col("__s.count").alias("n"))
 
 
 def files(chunks: DataFrame, path: str = "path", vector: str = "vector") -> DataFrame:

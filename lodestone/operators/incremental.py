@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rank import best_row
+
 
 def cache_join(chunks: DataFrame, cache: DataFrame, key: str = "hash") -> DataFrame:
     """chunks with the cached ``vector`` of an equal hash, and ``hit``."""
@@ -49,8 +52,9 @@ def delete_paths(chunks: DataFrame, gone: DataFrame, path: str = "path") -> Data
 
 def last_event(changes: DataFrame, path: str = "path", ts: str = "ts", order: str | None = None) -> DataFrame:
     """The last change of each path."""
-    w = Window.partitionBy(path).orderBy(F.desc(ts), *([F.desc(order)] if order else []))
-    return changes.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    whole = F.struct(*[F.col(c) for c in changes.columns])
+    latest = F.max_by(whole, F.struct(ts, *([order] if order else [])))
+    return changes.groupBy(F.col(path).alias("__key")).agg(latest.alias("__row")).select("__row.*")
 
 
 def apply_changes(chunks: DataFrame, changes: DataFrame, fresh: DataFrame, path: str = "path") -> DataFrame:
@@ -62,8 +66,7 @@ def apply_changes(chunks: DataFrame, changes: DataFrame, fresh: DataFrame, path:
 
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row a key, the first by ``order``."""
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    return best_row(rows, key, F.col(order))
 
 
 # --- change events ---------------------------------------------------------
@@ -89,15 +92,38 @@ def categorise(events: DataFrame, kind: str = "kind", paths: str = "paths") -> D
 def sessions(changes: DataFrame, ts: str = "ts", gap: str = "500 milliseconds", keys: tuple[str, ...] = ()) -> DataFrame:
     """Debounced bursts: events no further apart than ``gap``, with their distinct paths.
 
-    Without ``keys`` all events share one key; streams need it to be a column.
+    A stream keeps a session in state; without ``keys`` all its events share one key.  A table is first
+    reduced to stretches of ``gap``, whose events belong together anyway, so that only the stretches
+    are put in order, and to its distinct paths in each.
     """
+    return (_stream_sessions if changes.isStreaming else _table_sessions)(changes, ts, gap, keys)
+
+
+def _paths_of(op: str) -> Column:
+    return F.array_sort(F.collect_set(F.when(F.col("op") == op, F.col("path"))))
+
+
+def _stream_sessions(changes: DataFrame, ts: str, gap: str, keys: tuple[str, ...]) -> DataFrame:
     scope = list(keys) or [(F.length("path") >= 0).alias("__all")]
     return (
         changes.groupBy(F.session_window(ts, gap).alias("w"), *scope)
-        .agg(
-            F.count(F.lit(1)).alias("n_events"),
-            F.array_sort(F.collect_set(F.when(F.col("op") == "touched", F.col("path")))).alias("touched"),
-            F.array_sort(F.collect_set(F.when(F.col("op") == "deleted", F.col("path")))).alias("deleted"),
-        )
+        .agg(F.count(F.lit(1)).alias("n_events"), _paths_of("touched").alias("touched"), _paths_of("deleted").alias("deleted"))
         .select(*keys, F.col("w.start").alias("started"), F.col("w.end").alias("ends"), "n_events", "touched", "deleted")
     )
+
+
+def _table_sessions(changes: DataFrame, ts: str, gap: str, keys: tuple[str, ...]) -> DataFrame:
+    micros = int(pd.Timedelta(gap).total_seconds() * 1_000_000)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = changes.select(*keys, "path", "op", F.col(ts).alias("__ts"), F.floor(at / micros).alias("__stretch")).where("__ts is not null")
+    per = rows.groupBy(*keys, "__stretch", "path", "op").agg(F.min("__ts").alias("__lo"), F.max("__ts").alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    stretches = per.groupBy(*keys, "__stretch").agg(F.min("__lo").alias("lo"), F.max("__hi").alias("hi"), F.sum("__n").alias("n"))
+    w = Window.partitionBy(*keys).orderBy("__stretch")
+    wait = F.unix_micros(F.col("lo").cast("timestamp")) - F.unix_micros(F.lag("hi").over(w).cast("timestamp"))
+    fresh = stretches.withColumn("__new", F.when(wait <= micros, 0).otherwise(1))
+    numbered = fresh.withColumn("__session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = numbered.groupBy(*keys, "__session").agg(F.min("lo").alias("started"), F.max("hi").alias("__last"), F.sum("n").alias("n_events"))
+    held = per.join(numbered.select(*keys, "__stretch", "__session"), [*keys, "__stretch"]).select(*keys, "__session", "path", "op").distinct()
+    held = held.groupBy(*keys, "__session").agg(_paths_of("touched").alias("touched"), _paths_of("deleted").alias("deleted"))
+    ends = (F.col("__last") + F.expr(f"interval '{micros / 1_000_000:.6f}' second")).alias("ends")
+    return spans.join(held, [*keys, "__session"]).select(*keys, "started", ends, "n_events", "touched", "deleted")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -52,16 +52,21 @@ def expand(query: str, best: DataFrame, text_col: str = "text") -> str:
     return " ".join([query, *terms])
 
 
+def best_row(df: DataFrame, key: str, *order: Column) -> DataFrame:
+    """One row a key, the least by ``order``: a minimum that is pre-combined on the map side, so that
+    no key's rows are ever sorted in one task."""
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(F.col(key).alias("__key")).agg(F.min_by(whole, F.struct(*order)).alias("__row")).select("__row.*")
+
+
 def max_merge(first: DataFrame, second: DataFrame, key: str = "id", score: str = "score") -> DataFrame:
     """Rows of both by key; one that is in both has the better score (the first on a tie)."""
     both = first.withColumn("__pass", F.lit(0)).unionByName(second.withColumn("__pass", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.desc(score), "__pass")
-    return both.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__pass")
+    return best_row(both, key, -F.col(score), F.col("__pass")).drop("__pass")
 
 
 def drop_equal_hashes(df: DataFrame, score: str = "score", hash_col: str = "hash", ties: tuple[str, ...] = TIE) -> DataFrame:
-    w = Window.partitionBy(hash_col).orderBy(F.round(score, 6).desc(), *ties)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    return best_row(df, hash_col, -F.round(score, 6), *[F.col(t) for t in ties])
 
 
 def suppress_near_duplicates(df: DataFrame, threshold: float = DUPLICATE_COSINE, score: str = "score", vector: str = "vector", ties: tuple[str, ...] = TIE) -> DataFrame:

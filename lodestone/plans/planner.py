@@ -13,7 +13,7 @@ from ..constants import (
     ANN_FROM, ANN_OVERSAMPLE, BINARY_FROM, BINARY_OVERSAMPLE, DEFAULT_LIMIT, DUPLICATE_COSINE, PRF_DOCS, REMOTE_LEAST, REMOTE_OVERSAMPLE, SYMBOL_HIT_BOOST,
 )
 from ..functions import paths, vectors
-from ..operators import lexical, rank
+from ..operators import ann, lexical, rank
 
 Embed = Callable[[str], list[float]]
 
@@ -59,39 +59,60 @@ class Lexicon:
     lengths: DataFrame
 
 
-def _lexical(chunks: DataFrame, terms, lexicon: Lexicon | None, keep: list[str]) -> DataFrame:
+def _held(df: DataFrame, held: list[DataFrame] | None) -> DataFrame:
+    """Kept while a search runs, where the caller lets go of it afterwards."""
+    if held is None:
+        return df
+    held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return held[-1]
+
+
+def _lexical(chunks: DataFrame, terms, lexicon: Lexicon | None, keep: list[str], held: list[DataFrame] | None) -> DataFrame:
     """The narrow columns with ``bm25``: from the persisted postings, or by one pass over the texts."""
     if lexicon is None:
         counted = lexical.count_terms(chunks, fields_of(chunks), terms)
-        counted = counted.select(*keep, "__dl", *[f"__t{i}" for i in range(len(terms))]).persist(StorageLevel.MEMORY_AND_DISK)
-        return lexical.score_counts(counted, terms)
+        return lexical.score_counts(_held(counted.select(*keep, "__dl", *[f"__t{i}" for i in range(len(terms))]), held), terms)
     found = lexical.score_postings(lexicon.postings, lexicon.lengths, "chunk_idx", terms)
-    return chunks.select(*keep).join(found, "chunk_idx", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0))).persist(StorageLevel.MEMORY_AND_DISK)
+    return _held(chunks.select(*keep).join(found, "chunk_idx", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0))), held)
+
+
+def shortlist(chunks: DataFrame, query_vector: list[float], size: int) -> DataFrame:
+    """(chunk_idx, semantic) of the ``size`` rows with the nearest sign bits; only their vectors are compared."""
+    q = vectors.literal(query_vector)
+    bits = F.col("bits") if "bits" in chunks.columns else vectors.quantise(F.col("vector"))
+    near = chunks.select("chunk_idx", vectors.hamming(bits, vectors.quantise(q)).alias("distance")).orderBy("distance", "chunk_idx").limit(size)
+    return chunks.select("chunk_idx", "vector").join(F.broadcast(near), "chunk_idx").select("chunk_idx", vectors.cosine(F.col("vector"), q).alias("semantic"))
 
 
-def candidates(scored: DataFrame, strategy: str, options: SearchOptions) -> DataFrame:
-    """The rows of the chosen access path; ``scored`` has semantic and, for binary, distance."""
-    if strategy == "binary":
-        return scored.orderBy("distance", "chunk_idx").limit(options.pool * BINARY_OVERSAMPLE)
-    if strategy == "ann":
-        return scored.orderBy(F.round("semantic", 6).desc(), "chunk_idx").limit(options.pool * ANN_OVERSAMPLE)
-    return scored.where(paths.glob_filter(F.col("path"), options.glob) & paths.metadata_filter(options.filters, F.col("path"), F.col("language")))
+def neighbours(chunks: DataFrame, query_vector: list[float], size: int, cells: ann.Cells | None = None) -> DataFrame:
+    """(chunk_idx, semantic) of the ``size`` nearest rows: of the index's cells that are nearest, or of all without one."""
+    near = chunks if cells is None else chunks.where(cells.near(query_vector))
+    return ann.exact(near.select("chunk_idx", "vector"), vectors.literal(query_vector), size).select("chunk_idx", "semantic")
 
 
-def score_pass(chunks: DataFrame, query: str, query_vector: list[float], strategy: str, options: SearchOptions, lexicon: Lexicon | None = None) -> DataFrame:
+def score_pass(
+    chunks: DataFrame, query: str, query_vector: list[float], strategy: str, options: SearchOptions, lexicon: Lexicon | None = None, held: list[DataFrame] | None = None, cells: ann.Cells | None = None
+) -> DataFrame:
     """Scored candidates: the narrow columns, chunk_idx, bm25 (raw), semantic and score.
 
     Lexical statistics are those of the whole corpus; the normalisation is that of the candidates.
+    Tables kept meanwhile are added to ``held``.
     """
-    q = vectors.literal(query_vector)
-    rows = chunks.withColumn("semantic", vectors.cosine(F.col("vector"), q))
-    keep = ["chunk_idx", *NARROW, "semantic"]
-    if strategy == "binary":
-        bits = F.col("bits") if "bits" in chunks.columns else vectors.quantise(F.col("vector"))
-        rows, keep = rows.withColumn("distance", vectors.hamming(bits, vectors.quantise(q))), [*keep, "distance"]
+    keep = ["chunk_idx", *NARROW]
     terms = lexical.query_terms(chunks.sparkSession, query)
-    found = rank.normalise(candidates(_lexical(rows, terms, lexicon, keep), strategy, options))
-    return found.withColumn("score", rank.fuse(F.col("semantic"), F.col("bm25_norm"))).drop("distance")
+    if strategy in ("binary", "ann"):
+        if strategy == "binary":
+            near = shortlist(chunks, query_vector, options.pool * BINARY_OVERSAMPLE)
+        else:
+            near = neighbours(chunks, query_vector, options.pool * ANN_OVERSAMPLE, cells)
+        if lexicon is not None:
+            chunks = chunks.join(F.broadcast(near.select("chunk_idx")), "chunk_idx", "left_semi")
+        rows = _lexical(chunks, terms, lexicon, keep, held).join(F.broadcast(near), "chunk_idx")
+    else:
+        rows = chunks.withColumn("semantic", vectors.cosine(F.col("vector"), vectors.literal(query_vector)))
+        rows = _lexical(rows, terms, lexicon, [*keep, "semantic"], held)
+        rows = rows.where(paths.glob_filter(F.col("path"), options.glob) & paths.metadata_filter(options.filters, F.col("path"), F.col("language")))
+    return rank.normalise(rows).withColumn("score", rank.fuse(F.col("semantic"), F.col("bm25_norm")))
 
 
 def with_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -100,17 +121,30 @@ def with_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_idx", *rest).join(F.broadcast(ranked), "chunk_idx")
 
 
-def search(chunks: DataFrame, query: str, embed: Embed, options: SearchOptions | None = None, n: int | None = None, lexicon: Lexicon | None = None) -> DataFrame:
-    """Ranked chunks for a query.  ``chunks`` has chunk_idx, id, path, language, start_line, text, hash and vector."""
+def _listed(df: DataFrame) -> DataFrame:
+    """A result list (bounded by the query's limit) as a local table, so that nothing is computed twice."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def search(chunks: DataFrame, query: str, embed: Embed, options: SearchOptions | None = None, n: int | None = None, lexicon: Lexicon | None = None, cells: ann.Cells | None = None) -> DataFrame:
+    """Ranked chunks for a query.  ``chunks`` has chunk_idx, id, path, language, start_line, text, hash and vector.
+
+    The ranking runs here; what comes back reads the listed chunks only.  Nothing stays cached.
+    """
     options = options or SearchOptions()
     strategy = choose(chunks.count() if n is None else n, options)
-    # a list of at most ``pool`` rows: it starts both the feedback and the merge
-    first = rank.top(score_pass(chunks, query, embed(query), strategy, options, lexicon), options.pool).persist()
-    expanded = rank.expand(query, rank.top(with_chunks(first, chunks), options.pool))
-    merged = first
-    if expanded != query:
-        merged = rank.max_merge(first, score_pass(chunks, expanded, embed(expanded), strategy, options, lexicon))
-    ranked = rank.top(merged.withColumn("score", F.col("score") * paths.priority(F.col("path"))), options.limit)
+    held: list[DataFrame] = []
+    try:
+        # a list of at most ``pool`` rows: it starts both the feedback and the merge
+        first = _listed(rank.top(score_pass(chunks, query, embed(query), strategy, options, lexicon, held, cells), options.pool))
+        expanded = rank.expand(query, rank.top(with_chunks(first, chunks), options.pool))
+        merged = first
+        if expanded != query:
+            merged = rank.max_merge(first, score_pass(chunks, expanded, embed(expanded), strategy, options, lexicon, held, cells))
+        ranked = _listed(rank.top(merged.withColumn("score", F.col("score") * paths.priority(F.col("path"))), options.limit))
+    finally:
+        for df in held:
+            df.unpersist()
     ranked = with_chunks(ranked, chunks)
     return rank.suppress_near_duplicates(ranked, options.threshold) if options.dedup else ranked
 

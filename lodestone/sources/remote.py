@@ -27,6 +27,8 @@ class RemoteStore(Protocol):
 
     def query(self, vector: list[float], k: int) -> list[dict]: ...
 
+    def delete(self, ids: list[str]) -> None: ...
+
     def delete_namespace(self) -> None: ...
 
 
@@ -57,6 +59,22 @@ def push(chunks: DataFrame, store: RemoteStore, reset: bool = False) -> None:
     rows_of(chunks).foreachPartition(send)
 
 
+def withdraw(chunks: DataFrame, store: RemoteStore) -> None:
+    """Delete the rows of ``chunks`` by id, in batches of the store's size, from the executors."""
+
+    def send(part: Iterator[Row]) -> None:
+        held: list[str] = []
+        for row in part:
+            held.append(row["id"])
+            if len(held) == store.batch:
+                store.delete(held)
+                held = []
+        if held:
+            store.delete(held)
+
+    chunks.select(F.col("hash").alias("id")).distinct().foreachPartition(send)
+
+
 @dataclass
 class MemoryStore:
     """For tests on the driver: records each request."""
@@ -79,6 +97,10 @@ class MemoryStore:
 
         return sorted(({**r, "score": score(r)} for r in self.rows.values()), key=lambda r: (-r["score"], r["id"]))[:k]
 
+    def delete(self, ids: list[str]) -> None:
+        for i in ids:
+            self.rows.pop(i, None)
+
     def delete_namespace(self) -> None:
         self.rows.clear()
 
@@ -148,6 +170,10 @@ class IndexApiStore:
         found = self._call("query", {"vector": vector, "topK": k or 50, "includeMetadata": True}).get("matches", [])
         return [{"id": m["id"], "score": m["score"], "symbols": [], **m.get("metadata", {})} for m in found]
 
+    def delete(self, ids: list[str]) -> None:
+        for at in range(0, len(ids), self.batch):
+            self._call("vectors/delete", {"ids": ids[at : at + self.batch]})
+
     def delete_namespace(self) -> None:
         try:
             self._call("vectors/delete", {"deleteAll": True})
@@ -182,6 +208,10 @@ class NamespaceApiStore:
         found = self._call("/query", {"rank_by": ["vector", "ANN", vector], "top_k": k, "include_attributes": True}).get("rows", [])
         return [{**r, "score": 1.0 - r.get("$dist", 1.0)} for r in found]
 
+    def delete(self, ids: list[str]) -> None:
+        for at in range(0, len(ids), self.batch):
+            self._call("", {"deletes": ids[at : at + self.batch]})
+
     def delete_namespace(self) -> None:
         try:
             self._call("/delete", {})

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -146,6 +146,14 @@ def symbol_graph(files: DataFrame) -> Graph:
     return Graph(*(parsed.select(F.inline(c)) for c in ("symbols", "edges", "imports")))
 
 
+def below(path: Column, root: str) -> Column:
+    """Paths below ``root`` as it is written, or as its links resolve, without it; others as they are."""
+    out = path
+    for base in dict.fromkeys((root.rstrip("/") + "/", os.path.realpath(root).rstrip("/") + "/")):
+        out = F.when(F.startswith(path, F.lit(base)), F.substring(path, F.lit(len(base) + 1), F.length(path))).otherwise(out)
+    return out
+
+
 def relative(path: str, root: str) -> str:
     """``path`` below ``root``; a deleted file's parent is resolved instead of itself."""
     if path.startswith(root.rstrip("/") + "/"):

@@ -1,6 +1,6 @@
 """Snapshots: the index's tables as Parquet, versioned, with one pointer to the live one.
 
-    <root>/snap=<id>/{chunks,postings,lengths,symbols,edges,imports,files,directories,metadata}
+    <root>/snap=<id>/{chunks,postings,lengths,symbols,edges,imports,files,directories,cells,metadata}
     <root>/CURRENT      the id of the live snapshot
     <root>/BUILDING     who builds, while a build runs
 
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import FORMAT_VERSION
+from ..operators.ann import Cells
 from ..operators.graph import Graph
 from .. import schemas
 
@@ -35,7 +36,12 @@ class _Files:
     def __init__(self, spark: SparkSession, root: str):
         jvm = spark._jvm
         self.path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{root}/{p}" if p else root)
-        self.fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        conf = spark._jsc.hadoopConfiguration()
+        self.fs = self.path("").getFileSystem(conf)
+        self.context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), conf)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        self.replace = spark.sparkContext._gateway.new_array(rename, 1)
+        self.replace[0] = rename.OVERWRITE
 
     def exists(self, p: str) -> bool:
         return self.fs.exists(self.path(p))
@@ -60,8 +66,8 @@ class _Files:
         out = self.fs.create(self.path(tmp), True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(self.path(p), False)
-        self.fs.rename(self.path(tmp), self.path(p))
+        # one step that replaces: a reader, or a crash, in between sees the old file or the new one
+        self.context.rename(self.path(tmp), self.path(p), self.replace)
 
     def delete(self, p: str) -> None:
         self.fs.delete(self.path(p), True)
@@ -83,6 +89,11 @@ class Snapshot:
     def metadata(self) -> dict:
         return self.table("metadata").first().asDict()
 
+    @property
+    def cells(self) -> Cells | None:
+        """The neighbour index, where the snapshot has one."""
+        return Cells.load(self.spark, f"{self.root}/snap={self.snap}/cells") if _Files(self.spark, self.root).exists(f"snap={self.snap}/cells") else None
+
     @property
     def graph(self) -> Graph:
         return Graph(*(self.table(t) for t in GRAPH_TABLES))
@@ -100,11 +111,15 @@ class Store:
         found = Snapshot(self.spark, self.root, snap.strip())
         return found if found.metadata["version"] == FORMAT_VERSION else None
 
-    def save(self, tables: dict[str, DataFrame], repo_path: str, vector_dim: int, embedding_model: str, total_files: int, postings_sorted: bool = True) -> Snapshot:
+    def save(self, tables: dict[str, DataFrame], repo_path: str, vector_dim: int, embedding_model: str, total_files: int, postings_sorted: bool = True, cells: Cells | None = None) -> Snapshot:
         snap = uuid.uuid4().hex
+        if cells is not None:
+            cells.save(self.spark, f"{self.root}/snap={snap}/cells")
         for name, df in tables.items():
             if name == "postings" and postings_sorted:  # a query's terms then sit in few row groups
                 df = df.repartitionByRange("term").sortWithinPartitions("term")
+            if name == "chunks" and "cell" in df.columns:  # as do the cells of a query's neighbours
+                df = df.repartitionByRange("cell", "chunk_idx").sortWithinPartitions("cell", "chunk_idx")
             df.write.option("compression", "zstd").parquet(f"{self.root}/snap={snap}/{name}")
         n = Snapshot(self.spark, self.root, snap).table("chunks").count()
         meta = self.spark.range(1).select(
