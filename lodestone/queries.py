@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import queries_sql as sql
 from .functions import paths, text, vectors
 from .operators import ann, chunk, graph, hierarchy, incremental, lexical, rank
 from .plans import planner
+from .sources import repo
 from .streaming import watch
 
 QUERY = sql.QUERY
@@ -192,6 +193,29 @@ def ann_oversample(spark, sf):
     return ann.oversampled(vecs(spark, sf), vectors.literal(query_vector(spark, sf)), 10).select("chunk_idx", r6("semantic").alias("score"))
 
 
+def _cells(spark, sf):
+    """The inverted file over all vectors: (rows with their cell, centres)."""
+    cells = ann.Cells.fit(vecs(spark, sf))
+    return cells.assign(vecs(spark, sf)), cells
+
+
+@query
+def ann_cells(spark, sf):
+    """Every vector with its cell; no row is left out."""
+    rows, cells = _cells(spark, sf)
+    return rows.select("chunk_idx", (F.col("cell").isNotNull() & (F.col("cell") < len(cells.centres))).alias("placed"))
+
+
+@query
+def ann_recall(spark, sf):
+    """The share of the ten nearest rows that the index finds, for every vector whose id 100 divides."""
+    rows, cells = _cells(spark, sf)
+    asked = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select("embedding").collect()
+    found = ann.recall(rows.persist(), cells, [[float(x) for x in r[0]] for r in asked])
+    rows.unpersist()
+    return spark.createDataFrame([(len(asked), found >= 0.9)], "n_queries bigint, enough boolean")
+
+
 @query
 def l2_norm(spark, sf):
     scaled = F.transform("vector", lambda x: x.cast("double") * 3)
@@ -377,11 +401,67 @@ def snippet12(spark, sf):
     return chunks(spark, sf).select("chunk_idx", F.md5(text.snippet(body)).alias("digest"), F.length(text.snippet(body, full=True)).cast("long").alias("n_full"))
 
 
+def _sources(spark, sf):
+    """Two source files per nation, in Python and in Rust, with declarations on known lines."""
+    k = F.col("n_nationkey").cast("string")
+    text_of = lambda body: F.regexp_replace(F.lit(body), "#K", k)
+    nations = table(spark, sf, "nation")
+    rows = [
+        nations.select(F.concat("n_name", F.lit(ending)).alias("path"), text_of(body).alias("text"), F.lit(lang).alias("language"))
+        for ending, lang, body in ((".py", "python", sql.PYTHON), (".rs", "rust", sql.RUST))
+    ]
+    return rows[0].unionByName(rows[1]).withColumns({"graph_language": F.col("language"), "modified_at": F.lit(None).cast("timestamp"), "length": F.octet_length("text").cast("long")})
+
+
+@query
+def chunk_semantic(spark, sf):
+    """Semantic chunks: where they begin and end, and the text that stands in front of them."""
+    found = chunk.chunk_files(_sources(spark, sf))
+    return found.select("path", F.col("start_line").cast("long"), F.col("end_line").cast("long"), F.octet_length("text").cast("long").alias("n_bytes"), "hash")
+
+
+@query
+def extract_symbols(spark, sf):
+    s = repo.symbol_graph(_sources(spark, sf)).symbols
+    return s.select("file_path", "name", "kind", F.col("start_line").cast("long"), F.col("end_line").cast("long"), "signature")
+
+
+@query
+def extract_edges(spark, sf):
+    g = repo.symbol_graph(_sources(spark, sf))
+    name = g.symbols.select("id", "name", "file_path")
+    held = g.edges.join(name.toDF("source_id", "source", "path"), "source_id").join(name.select(F.col("id").alias("target_id"), F.col("name").alias("t")), "target_id", "left")
+    return held.select("path", "source", "kind", F.coalesce("t", "metadata").alias("target"))
+
+
+@query
+def extract_imports(spark, sf):
+    return repo.symbol_graph(_sources(spark, sf)).imports.select("source_file", "target_path", "alias", F.col("line").cast("long"))
+
+
+@query
+def ingest_filter(spark, sf):
+    """Pages as files: not excluded, not binary, at most 5 MiB."""
+    length = F.col("page_id") % 7 * (1 << 20)
+    return _page_paths(spark, sf).where(paths.ingestible(F.col("path"), length)).select("page_id")
+
+
+@query
+def graph_language(spark, sf):
+    return _page_paths(spark, sf).select("page_id", F.coalesce(paths.graph_language(F.col("path")), F.lit("none")).alias("language"))
+
+
+@query
+def limit_clamp(spark, sf):
+    """A limit below one counts as one."""
+    return rank.top(vecs(spark, sf).withColumn("score", F.lit(1.0)), 0, ties=("chunk_idx",)).select("chunk_idx")
+
+
 # --- graph -------------------------------------------------------------------------
 
 
 def _graph(spark, sf) -> graph.Graph:
-    """Customers and suppliers as symbols of nation files, orders as calls, regions as imports."""
+    """Customers and suppliers as symbols of nation files, every order line as an edge, regions as imports."""
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     where = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("k"), F.concat("r_name", F.lit("/"), "n_name").alias("file_path"))
     c = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.lower("c_mktsegment").alias("kind"), F.col("c_nationkey").alias("k"), (F.col("c_custkey") % 1000).alias("at"))
@@ -389,7 +469,7 @@ def _graph(spark, sf) -> graph.Graph:
     symbols = c.unionByName(s).join(where, "k").select("id", "name", "kind", "file_path", (F.col("at") + 1).cast("int").alias("start_line"), (F.col("at") + 3).cast("int").alias("end_line"))
     o, line = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     edges = (
-        o.join(line.where("l_linenumber = 1"), o.o_orderkey == line.l_orderkey)
+        o.join(line, o.o_orderkey == line.l_orderkey)
         .select(F.concat(F.lit("c"), "o_custkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id"), F.when(F.col("o_orderstatus") == "F", "calls").otherwise("implements").alias("kind"))
         .withColumn("metadata", F.lit(None).cast("string"))
     )
@@ -456,9 +536,10 @@ def graph_merge(spark, sf):
 
 def _blocks(spark, sf):
     """Overlapping line ranges of every nation file."""
-    files = _graph(spark, sf).imports.select(F.col("source_file").alias("path"))
-    rows = files.select("path", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("b")).select("path", (F.col("b") * 50 + 1).cast("int").alias("start_line"), (F.col("b") * 50 + 60).cast("int").alias("end_line"))
-    return rows.withColumn("chunk_idx", F.row_number().over(Window.orderBy("path", "start_line")).cast("long"))
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    files = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").cast("long").alias("k"), F.concat("r_name", F.lit("/"), "n_name").alias("path"))
+    rows = files.select("k", "path", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("b"))
+    return rows.select("path", (F.col("b") * 50 + 1).cast("int").alias("start_line"), (F.col("b") * 50 + 60).cast("int").alias("end_line"), (F.col("k") * 20 + F.col("b") + 1).alias("chunk_idx"))
 
 
 @query

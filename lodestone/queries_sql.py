@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .constants import DOC_PATHS, FILE_TYPES, GENERATED_PATHS, LANGUAGES, PUNCTUATION, STOP_WORDS, SUFFIXES as STEMS, TEST_PATHS
+from .constants import BINARY_EXTENSIONS, DOC_PATHS, FILE_TYPES, GENERATED_PATHS, GRAPH_LANGUAGES, LANGUAGES, MAX_FILE_BYTES, PUNCTUATION, STOP_WORDS, SUFFIXES as STEMS, TEST_PATHS
+from .functions.paths import default_excludes, glob_regex
 
 QUERY = "the idiot password ontion scum les mentpa password"
 EXT = {"en": ".rs", "fr": ".py", "de": ".md", "es": "_test.py"}
@@ -10,6 +11,35 @@ EXT = {"en": ".rs", "fr": ".py", "de": ".md", "es": "_test.py"}
 SUFFIXES = ["/vendor/a.c", "/x_test.go", "/docs/y", "/main.py", "/z.min.js", "/README.md", "/lib.rs", "/SomeTest.java", "/tool.tar.gz", "/.bashrc", "/a.generated.ts"]
 KINDS = ["create", "modify", "remove", "rename", "access"]
 
+PYTHON = """import os
+from a.b import c as d
+
+
+class Box#K:
+    def open(self):
+        return helper#K(os)
+
+
+def helper#K(x):
+    return d(x)
+"""
+RUST = """use std::fmt as f;
+
+struct Unit#K {
+    n: i32,
+}
+
+impl Unit#K {
+    fn grow(&self) -> i32 {
+        scale#K(self.n)
+    }
+}
+
+fn scale#K(x: i32) -> i32 {
+    x * 2
+}
+"""
+
 ORACLE_SQL: dict[str, str] = {}
 
 
@@ -109,6 +139,7 @@ add("quantize_bits", f"select vec_id as chunk_idx, cast({_BITS} as varchar) as b
 _HAM = f"list_sum(list_transform(list_zip(embedding, {QV}), lambda p: case when (p[1] > 0) = (p[2] > 0) then 0 else 1 end))"
 add("hamming_topk", f"select vec_id as chunk_idx, cast({_HAM} as bigint) as distance from embeddings order by distance, chunk_idx limit 20")
 add("two_phase_topk", f"with s as (select * from embeddings order by {_HAM}, vec_id limit 100) select vec_id as chunk_idx, round({_COS}, 6) as score from s order by score desc, chunk_idx limit 10")
+add("ann_cells", "select vec_id as chunk_idx, true as placed from embeddings")
 add("l2_norm", """select vec_id as chunk_idx, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) as norm, round(u[1], 6) as first from (
   select vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u from (select vec_id, list_transform(cast(embedding as double[]), lambda x: x * 3) as v from embeddings))""")
 add("dim_truncate", "select vec_id as chunk_idx, cast(16 as bigint) as dim, round(sqrt(list_sum(list_transform(cast(embedding[1:16] as double[]), lambda x: x * x))), 6) as norm from embeddings")
@@ -221,11 +252,48 @@ add("snippet12", """with b as (select doc_id, replace(text, '. ', '.' || chr(10)
 s as (select doc_id, t, string_split(t, chr(10)) as l0 from b), l as (select doc_id, t, case when l0[-1] = '' then l0[1:len(l0) - 1] else l0 end as l from s)
 select doc_id as chunk_idx, md5(array_to_string(l[1:12], chr(10))) as digest, length(t) as n_full from l""")
 
+
+
+def per_nation(columns: str, rows: list[tuple]) -> str:
+    """The rows for every nation, with its key for #K and its name for #N."""
+    values = ", ".join("(" + ", ".join("null" if x is None else str(x) if isinstance(x, int) else quote(x) for x in r) + ")" for r in rows)
+    names = columns.split()
+    filled = ", ".join(f"replace(replace({c}, '#K', cast(n_nationkey as varchar)), '#N', n_name) as {c}" if any(isinstance(r[i], str) for r in rows) else f"cast({c} as bigint) as {c}" for i, c in enumerate(names))
+    return f"select {filled} from nation, (values {values}) as t({', '.join(names)})"
+
+
+_LEAD_PY, _LEAD_RS = "import os\nfrom a.b import c as d\n\n", "use std::fmt as f;\n\n"
+_PY_LINES, _RS_LINES = PYTHON.split("\n"), RUST.split("\n")
+_UNIT = "\n".join(_RS_LINES[2:5])
+_CHUNKS = [
+    ("#N.py", 6, 11, _LEAD_PY + "// Context: class Box#K\n" + "\n".join(_PY_LINES[5:7]) + "\n\n" + "\n".join(_PY_LINES[9:11])),
+    ("#N.rs", 3, 5, _LEAD_RS + _UNIT),
+    ("#N.rs", 8, 15, _LEAD_RS + "// Context: impl Unit#K\n" + "\n".join(_RS_LINES[7:10]) + "\n\n" + "\n".join(_RS_LINES[12:15])),
+]
+add("chunk_semantic", f"""select path, start_line, end_line, cast(strlen(t) as bigint) as n_bytes, sha256(t) as hash from (
+  select path, start_line, end_line, '// File: ' || path || chr(10) || regexp_replace(body, '^\\s+|\\s+$', '', 'g') as t from ({per_nation("path start_line end_line body", _CHUNKS)}))""")
+add("extract_symbols", per_nation("file_path name kind start_line end_line signature", [
+    ("#N.py", "Box#K", "class", 5, 7, "class Box#K:"), ("#N.py", "open", "function", 6, 7, "def open(self):"), ("#N.py", "helper#K", "function", 10, 11, "def helper#K(x):"),
+    ("#N.rs", "Unit#K", "struct", 3, 5, "struct Unit#K {"), ("#N.rs", "Unit#K", "struct", 7, 11, "impl Unit#K {"), ("#N.rs", "grow", "function", 8, 10, "fn grow(&self) -> i32 {"),
+    ("#N.rs", "scale#K", "function", 13, 15, "fn scale#K(x: i32) -> i32 {"),
+]))
+add("extract_edges", per_nation("path source kind target", [
+    ("#N.py", "Box#K", "contains", "open"), ("#N.py", "Box#K", "calls", "helper#K"), ("#N.py", "open", "calls", "helper#K"), ("#N.py", "helper#K", "calls", "d"),
+    ("#N.rs", "Unit#K", "contains", "grow"), ("#N.rs", "Unit#K", "calls", "scale#K"), ("#N.rs", "grow", "calls", "scale#K"),
+]))
+add("extract_imports", per_nation("source_file target_path alias line", [("#N.py", "os", None, 1), ("#N.py", "a.b", "d", 2), ("#N.rs", "std::fmt as f", "f", 1)]))
+_SUFFIX = r"regexp_extract(string_split(path, '/')[-1], '^.+\.([^.]*)$', 1)"
+_SKIP = quote("(?s)" + "|".join(f"(?:{g})" for g in map(glob_regex, default_excludes()) if g))
+add("ingest_filter", f"with {PG} select page_id from pg where not regexp_matches(path, {_SKIP}) and not list_contains({strings(BINARY_EXTENSIONS)}, {_SUFFIX}) and lower({_SUFFIX}) <> 'min' and page_id % 7 * 1048576 <= {MAX_FILE_BYTES}")
+_GLANG = "case " + " ".join(f"when {_EXT} in ({', '.join(map(quote, exts.split()))}) then '{label}'" for label, exts in GRAPH_LANGUAGES.items()) + " else 'none' end"
+add("graph_language", f"with {PG} select page_id, {_GLANG} as language from pg")
+add("limit_clamp", "select min(vec_id) as chunk_idx from embeddings")
+
 _G = """wh as (select n_nationkey as k, r_name || '/' || n_name as file_path from nation join region on n_regionkey = r_regionkey),
 sy as (select id, name, kind, file_path, cast(line + 1 as integer) as start_line, cast(line + 3 as integer) as end_line from (
   select 'c' || c_custkey as id, c_name as name, lower(c_mktsegment) as kind, c_nationkey as k, c_custkey % 1000 as line from customer
   union all select 's' || s_suppkey, s_name, 'class', s_nationkey, s_suppkey % 1000 from supplier) join wh using (k)),
-ed as (select 'c' || o_custkey as source_id, 's' || l_suppkey as target_id, case when o_orderstatus = 'F' then 'calls' else 'implements' end as kind from orders join lineitem on o_orderkey = l_orderkey where l_linenumber = 1),
+ed as (select 'c' || o_custkey as source_id, 's' || l_suppkey as target_id, case when o_orderstatus = 'F' then 'calls' else 'implements' end as kind from orders join lineitem on o_orderkey = l_orderkey),
 im as (select file_path as source_file, split_part(file_path, '/', 1) as target_path from wh)"""
 
 
@@ -236,7 +304,7 @@ union all select 'imports', count(*) from {i} union all select 'kind:' || kind,
 
 _RM = """rs as (select * from sy where file_path not in ('ASIA/CHINA', 'EUROPE/FRANCE', 'nowhere')), dead as (select id from sy where file_path in ('ASIA/CHINA', 'EUROPE/FRANCE', 'nowhere')),
 re as (select * from ed where source_id not in (select id from dead) and target_id not in (select id from dead)), ri as (select * from im where source_file not in ('ASIA/CHINA', 'EUROPE/FRANCE', 'nowhere'))"""
-_BL = """bl as (select path, start_line, end_line, row_number() over (order by path, start_line) as chunk_idx from (select source_file as path, b * 50 + 1 as start_line, b * 50 + 60 as end_line from im, (select unnest(range(0, 20)) as b)))"""
+_BL = """bl as (select path, start_line, end_line, chunk_idx from (select file_path as path, b * 50 + 1 as start_line, b * 50 + 60 as end_line, cast(k * 20 + b + 1 as bigint) as chunk_idx from wh, (select unnest(range(0, 20)) as b)))"""
 _SIC = "select s.id as symbol_id, b.chunk_idx from {0} s join bl b on s.file_path = b.path and b.start_line <= s.start_line and s.end_line <= b.end_line"
 add("graph_callers", f"with {_G} select sy.id, sy.name, count(*) as n from ed join sy on ed.source_id = sy.id where ed.kind = 'calls' and target_id = 's1' group by all")
 add("graph_callees", f"with {_G} select source_id as of_id, sy.id, count(*) as n from ed join sy on ed.target_id = sy.id where ed.kind = 'calls' group by all")

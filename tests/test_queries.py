@@ -14,6 +14,13 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_its_twin(spark, con, name):
     assert_same(queries.QUERIES[name](spark, SF), con, queries.ORACLE_SQL[name])
+
+
+def test_queries_without_a_twin(spark):
+    """The recall of the neighbour index, against the exact scan."""
+    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"ann_recall"}
+    row = queries.QUERIES["ann_recall"](spark, SF).first()
+    assert row["enough"] and row["n_queries"] > 0
