@@ -93,7 +93,7 @@ class Engine:
         fields = fields_of(named)
         files = hierarchy.files(named)
         tables = {
-            "chunks": named if cells is None else cells.assign(named), "postings": lexical.postings(named, "chunk_idx", fields), "lengths": lexical.lengths(named, "chunk_idx", fields),
+            "chunks": named if cells is None else cells.assign(named), "postings": lexical.postings(named, "chunk_idx", fields), "corpus": lexical.corpus_stats(lexical.lengths(named, "chunk_idx", fields)),
             "symbols": g.symbols, "edges": g.edges, "imports": g.imports, "files": files, "directories": hierarchy.directories(files),
         }
         hits = 0 if cache is None else chunks.join(cache.select("hash"), "hash", "left_semi").count()
@@ -117,7 +117,7 @@ class Engine:
     def search(self, query: str, options: SearchOptions | None = None) -> DataFrame:
         options = options or SearchOptions()
         snap = self.snapshot()
-        lexicon = Lexicon(snap.table("postings"), snap.table("lengths"))
+        lexicon = Lexicon(snap.table("postings"), snap.table("corpus"))
         found = search(snap.table("chunks"), query, self._embed, options, snap.metadata["total_chunks"], lexicon, snap.cells)
         return found.withColumn("snippet", tx.snippet(F.col("text"), options.full_context))
 

@@ -16,6 +16,24 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: F.octet_length(w) >= 2)
 
 
+#: a token: a run of two or more word characters, or a single one of two or more bytes
+_WORD = r"\p{IsAlphabetic}\p{N}_"
+_TOKEN = rf"[{_WORD}]{{2,}}|[{_WORD}&&[^\x00-\x7F]]"
+
+
+def token_count(text: Column) -> Column:
+    """How many tokens ``tokenize`` gives, without making them."""
+    return F.regexp_count(F.lower(text), F.lit(_TOKEN))
+
+
+def tokens_like(text: Column, beginnings: list[str]) -> Column:
+    """The tokens that begin with any of the given strings (of word characters), without making the others."""
+    if not beginnings:
+        return F.expr("cast(array() as array<string>)")
+    rx = rf"(?<![{_WORD}])(?:{'|'.join(sorted(beginnings))})[{_WORD}]*"
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(rx), F.lit(0)), lambda w: F.octet_length(w) >= 2)
+
+
 def keywords(text: Column) -> Column:
     """Lower-case runs of letters and digits of three or more bytes that are no stop words."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])

@@ -53,10 +53,10 @@ def fields_of(chunks: DataFrame):
 
 @dataclass
 class Lexicon:
-    """Persisted postings and lengths, keyed by ``chunk_idx``."""
+    """Persisted postings, keyed by ``chunk_idx``, and the one row of corpus statistics."""
 
     postings: DataFrame
-    lengths: DataFrame
+    stats: DataFrame
 
 
 def _held(df: DataFrame, held: list[DataFrame] | None) -> DataFrame:
@@ -72,7 +72,7 @@ def _lexical(chunks: DataFrame, terms, lexicon: Lexicon | None, keep: list[str],
     if lexicon is None:
         counted = lexical.count_terms(chunks, fields_of(chunks), terms)
         return lexical.score_counts(_held(counted.select(*keep, "__dl", *[f"__t{i}" for i in range(len(terms))]), held), terms)
-    found = lexical.score_postings(lexicon.postings, lexicon.lengths, "chunk_idx", terms)
+    found = lexical.score_postings(lexicon.postings, lexicon.stats, "chunk_idx", terms)
     return _held(chunks.select(*keep).join(found, "chunk_idx", "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0))), held)
 
 

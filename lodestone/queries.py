@@ -138,7 +138,7 @@ def bm25f_topk(spark, sf):
 @query
 def bm25f_postings(spark, sf):
     c, f = chunks(spark, sf), lexical.boosted_fields(F.col("text"), F.col("path"))
-    return lexical.score_postings(lexical.postings(c, "chunk_idx", f), lexical.lengths(c, "chunk_idx", f), "chunk_idx", lexical.query_terms(spark, QUERY)).select(
+    return lexical.score_postings(lexical.postings(c, "chunk_idx", f), lexical.corpus_stats(lexical.lengths(c, "chunk_idx", f)), "chunk_idx", lexical.query_terms(spark, QUERY)).select(
         "chunk_idx", r6("bm25").alias("score")
     )
 

@@ -1,6 +1,6 @@
 """Snapshots: the index's tables as Parquet, versioned, with one pointer to the live one.
 
-    <root>/snap=<id>/{chunks,postings,lengths,symbols,edges,imports,files,directories,cells,metadata}
+    <root>/snap=<id>/{chunks,postings,corpus,symbols,edges,imports,files,directories,cells,metadata}
     <root>/CURRENT      the id of the live snapshot
     <root>/BUILDING     who builds, while a build runs
 

@@ -1,10 +1,13 @@
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunk, graph, hierarchy, incremental, lexical, rank
+from lodestone.functions import text
+from lodestone.operators import ann, chunk, graph, hierarchy, incremental, lexical, rank
 from lodestone.plans import planner
 
 
@@ -40,7 +43,7 @@ def test_postings_give_the_same_scores(spark):
     f = lexical.boosted_fields(F.col("text"), F.col("path"))
     terms = Counter({"two": 2, "a": 1, "b": 1})
     left = {r["id"]: r["bm25"] for r in lexical.score(d, f, terms).collect() if r["bm25"] > 0}
-    right = {r["id"]: r["bm25"] for r in lexical.score_postings(lexical.postings(d, "id", f), lexical.lengths(d, "id", f), "id", terms).collect()}
+    right = {r["id"]: r["bm25"] for r in lexical.score_postings(lexical.postings(d, "id", f), lexical.corpus_stats(lexical.lengths(d, "id", f)), "id", terms).collect()}
     assert left == pytest.approx(right) and left
 
 
@@ -142,3 +145,62 @@ def test_cache(spark):
     joined = incremental.cache_join(chunks, cache)
     assert joined.count() == 3 and tuple(incremental.hit_ratio(joined).first())[:2] == (3, 2)
     assert {(r["path"], r["complete"]) for r in incremental.completed_files(joined).collect()} == {("a", False), ("b", True)}
+
+
+def test_tokens_are_counted_and_chosen_as_they_are_made(spark):
+    rng = random.Random(8)
+    rows = [("".join(rng.choice("ab_9 \u00e9\u00df\u4e2d\U0001f600.-\u0130K\n") for _ in range(rng.randrange(60))),) for _ in range(300)]
+    d = spark.createDataFrame([*rows, ("",)], "t string")
+    want = text.tokenize(F.col("t"))
+    got = d.select(want.alias("all"), text.token_count(F.col("t")).alias("n"), text.tokens_like(F.col("t"), ["a", "_b", "\u00e9"]).alias("some")).collect()
+    assert all(r["n"] == len(r["all"]) and r["some"] == [w for w in r["all"] if w.startswith(("a", "_b", "\u00e9"))] for r in got)
+    assert sum(len(r["some"]) for r in got) > 50
+
+
+def test_neighbour_index_holds_every_row_and_finds_most(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, [float(x) for x in centres[i % 12] + 0.4 * rng.normal(size=16)]) for i in range(1500)] + [(2000, None), (2001, [0.0] * 16)]
+    d = spark.createDataFrame(rows, "chunk_idx long, vector array<double>")
+    cells = ann.Cells.fit(d, cells=24, probes=6, sample=600)
+    indexed = cells.assign(d).persist()
+    assert indexed.count() == 1502 and indexed.where("cell is null").select("chunk_idx").collect() == [(2000,)]
+    assert ann.recall(indexed.where("vector is not null"), cells, [v for i, v in rows[:1500] if i % 100 == 0]) >= 0.9
+    cells.save(spark, str(tmp_path / "cells"))
+    again = ann.Cells.load(spark, str(tmp_path / "cells"))
+    assert np.allclose(again.centres, cells.centres) and again.probes == 6
+    empty = ann.Cells.fit(d.limit(0))
+    assert empty.assign(d.limit(0)).count() == 0 and d.limit(0).withColumn("cell", F.lit(1)).where(empty.near([1.0])).count() == 0
+    indexed.unpersist()
+
+
+def test_a_search_leaves_nothing_cached(spark):
+    d = spark.createDataFrame([(i, str(i), f"p{i}.rs", "rust", 1, f"alpha beta w{i}", f"h{i}", [float(i % 7), 1.0, -1.0]) for i in range(60)], "chunk_idx long, id string, path string, language string, start_line int, text string, hash string, vector array<double>")
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    want = None
+    for strategy in ("linear", "ann", "binary"):
+        found = planner.search(d, "alpha w3", lambda q: [3.0, 1.0, -1.0], planner.SearchOptions(limit=5, strategy=strategy, dedup=False)).collect()
+        assert len(found) == 5 and spark.sparkContext._jsc.getPersistentRDDs().size() == held
+        want = want or {r["id"] for r in found[:1]}
+        assert want <= {r["id"] for r in found}
+
+
+@pytest.mark.parametrize("gap", ["500 milliseconds", "3 seconds"])
+def test_bursts_of_a_table_equal_a_plain_walk(spark, gap):
+    import datetime
+
+    rng = random.Random(3)
+    base, at, rows = datetime.datetime(2024, 5, 1), 0.0, []
+    for _ in range(400):
+        at += rng.choice([0.0, 0.1, 0.5, 0.5, 0.6, 2.9, 3.0, 3.1, 40.0])
+        rows.append((base + datetime.timedelta(seconds=at), f"p{rng.randrange(9)}", rng.choice(["touched", "deleted"])))
+    limit = datetime.timedelta(milliseconds=500) if "milli" in gap else datetime.timedelta(seconds=3)
+    want = []
+    for ts, path, op in rows:
+        if not want or ts - want[-1][1] > limit:
+            want.append([ts, ts, 0, set(), set()])
+        want[-1][1] = ts
+        want[-1][2] += 1
+        want[-1][3 if op == "touched" else 4].add(path)
+    got = incremental.sessions(spark.createDataFrame(rows, "ts timestamp_ntz, path string, op string"), gap=gap).orderBy("started").collect()
+    assert [(r["started"], r["ends"], r["n_events"], r["touched"], r["deleted"]) for r in got] == [(a, b + limit, n, sorted(t), sorted(d)) for a, b, n, t, d in want]
