@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .constants import ANN_FROM, FORMAT_VERSION
-from .embed import Embedder, HashingEmbedder, embed_chunks
+from .constants import ANN_FROM, DEBOUNCE_MS, FORMAT_VERSION
+from .embed import Embedder, HashingEmbedder, batch_size, embed_chunks
 from .functions import text as tx
 from .functions import vectors
 from .operators import chunk, graph, hierarchy, incremental, lexical
@@ -34,8 +34,8 @@ class Report:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, store: str, embedder: Embedder | None = None, main_store: str | None = None):
-        self.spark, self.root, self.embedder = spark, root, embedder or HashingEmbedder()
+    def __init__(self, spark: SparkSession, root: str, store: str, embedder: Embedder | None = None, main_store: str | None = None, batch: int | None = None):
+        self.spark, self.root, self.embedder, self.batch = spark, root, embedder or HashingEmbedder(), batch_size(batch)
         self.store = Store(spark, store)
         if main_store and worktree_main(root):
             self.store.clone_from(Store(spark, main_store))
@@ -87,7 +87,7 @@ class Engine:
         t = time.time()
         cache = old.table("chunks").select("hash", "vector") if old is not None else None
         ranked = chunks.withColumn("chunk_idx", F.xxhash64("id"))
-        embedded = embed_chunks(ranked, self.embedder, cache).withColumn("bits", vectors.quantise(F.col("vector")))
+        embedded = embed_chunks(ranked, self.embedder, cache, size=self.batch).withColumn("bits", vectors.quantise(F.col("vector")))
         named = graph.chunk_symbol_names(g.symbols, embedded).persist()
         cells = Cells.fit(named) if named.count() >= ANN_FROM else None
         fields = fields_of(named)
@@ -111,6 +111,10 @@ class Engine:
         check_model(found.metadata, self.embedder.name, self.embedder.dimension)
         return found
 
+    def verify(self) -> None:
+        """Raise if the live snapshot does not hold what its metadata says."""
+        self.snapshot().verify()
+
     def _embed(self, query: str) -> list[float]:
         return self.embedder.embed_batch([query])[0]
 
@@ -154,8 +158,9 @@ class Engine:
         push(now.join(old.select(*place), place, "left_anti"), remote)
         withdraw(old.join(now.select("hash"), "hash", "left_anti"), remote)
 
-    def watch(self, events_folder: str, checkpoint: str, remote: RemoteStore | None = None, once: bool = False):
-        """Keep the index fresh from a stream of notifications; builds a first one where there is none."""
+    def watch(self, events_folder: str | None, checkpoint: str, remote: RemoteStore | None = None, once: bool = False, debounce_ms: int = DEBOUNCE_MS):
+        """Keep the index fresh from a stream of notifications, or from the tree itself where no folder
+        of them is given; builds a first index where there is none."""
         if self.store.current() is None:
             self.index()
 
@@ -165,7 +170,8 @@ class Engine:
             if remote is not None:
                 self.push_changes(remote, before)
 
-        return streams.run(streams.read_events(self.spark, events_folder), apply, checkpoint, once=once)
+        events = streams.read_events(self.spark, events_folder) if events_folder else streams.read_tree(self.spark, self.root, f"{checkpoint}-tree")
+        return streams.run(events, apply, checkpoint, debounce_ms, once)
 
 
 def to_json(results: DataFrame, query: str, limit: int, duration_ms: int, meta: dict) -> str:

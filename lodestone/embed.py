@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import gzip
 import json
+import os
+import shutil
 import time
 import urllib.request
 from collections import OrderedDict
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import lru_cache
 from typing import Protocol
 
@@ -101,25 +105,86 @@ def _onnx(folder: str, max_tokens: int):
     return onnxruntime.InferenceSession(f"{folder}/model.onnx"), tokenizer
 
 
+@dataclass(frozen=True)
+class Model:
+    """Where a model's files come from (remote name, local name), and its dimensions."""
+
+    base: str
+    files: tuple[tuple[str, str], ...]
+    native: int
+    dimension: int
+
+
+_TOKENIZER = tuple((f, f) for f in ("tokenizer.json", "config.json", "special_tokens_map.json", "tokenizer_config.json"))
+#: The models that can be named.
+MODELS = {
+    "mxbai-embed-xsmall-v1": Model("https://huggingface.co/mixedbread-ai/mxbai-embed-xsmall-v1/resolve/main", (("onnx/model.onnx", "model.onnx"), *_TOKENIZER), 384, 384),
+    "jina-embeddings-v2-base-code": Model("https://huggingface.co/jinaai/jina-embeddings-v2-base-code/resolve/main", (("onnx/model_quantized.onnx", "model.onnx"), *_TOKENIZER), 768, 384),
+}
+
+
+def fetch(url: str, path: str, timeout: float = 300.0) -> None:
+    """Download by way of a temporary name; proxies are those of the environment."""
+    with urllib.request.urlopen(url, timeout=timeout) as reply, open(path + ".part", "wb") as out:
+        shutil.copyfileobj(reply, out)
+    os.replace(path + ".part", path)
+
+
+def model_embedder(name: str, cache: str, offline: bool | None = None, get=fetch) -> OnnxEmbedder:
+    """An embedder of a named model, from the folder ``cache`` (on a cluster, one that every executor sees).
+
+    Missing files are downloaded, unless ``offline`` (or LODESTONE_OFFLINE) forbids it.
+    """
+    model, folder = MODELS[name], os.path.join(cache, name)
+    offline = bool(os.environ.get("LODESTONE_OFFLINE")) if offline is None else offline
+    missing = [(far, near) for far, near in model.files if not os.path.exists(os.path.join(folder, near))]
+    if missing and offline:
+        raise FileNotFoundError(f"{name} is not in {cache} and downloads are off")
+    for far, near in missing:
+        os.makedirs(folder, exist_ok=True)
+        get(f"{model.base}/{far}", os.path.join(folder, near))
+    found = OnnxEmbedder(folder, model.dimension)
+    found.name = name
+    return found
+
+
 class HttpEmbedder:
     """A remote embedding service: requests of at most 1000 texts, optionally compressed."""
 
-    def __init__(self, url: str, dimension: int = VECTOR_DIM, batch: int = 128, headers: dict | None = None, compress: bool = False, timeout: float = 120.0, send=None):
+    def __init__(self, url: str, dimension: int = VECTOR_DIM, batch: int = 128, headers: dict | None = None, compress: bool = False, timeout: float = 120.0, send=None, workers: int = 1):
+        self.workers = min(64, max(1, workers))
         self.url, self.dimension, self.batch, self.headers = url, dimension, min(batch, 1000), headers or {}
         self.compress, self.timeout, self.send, self.name = compress, timeout, send or _post, f"http:{url}"
 
     def embed_batch(self, texts: list[str]) -> list[list[float]]:
-        out: list[list[float]] = []
-        for at in range(0, len(texts), self.batch):
-            body = json.dumps({"texts": texts[at : at + self.batch], "dimension": self.dimension}).encode()
-            headers = {"Content-Type": "application/json", **self.headers}
-            if self.compress:
-                body, headers = gzip.compress(body), {**headers, "Content-Encoding": "gzip"}
-            found = json.loads(self.send(self.url, body, headers, self.timeout))["embeddings"]
-            if len(found) != len(texts[at : at + self.batch]) or any(len(v) != self.dimension for v in found):
-                raise ValueError("the service answered with another number of vectors or dimensions")
-            out += found
-        return out
+        parts = [texts[at : at + self.batch] for at in range(0, len(texts), self.batch)]
+        with ThreadPoolExecutor(min(self.workers, max(1, len(parts)))) as pool:
+            return [v for found in pool.map(self._request, parts) for v in found]
+
+    def _request(self, texts: list[str]) -> list[list[float]]:
+        body = json.dumps({"texts": texts, "dimension": self.dimension}).encode()
+        headers = {"Content-Type": "application/json", **self.headers}
+        if self.compress:
+            body, headers = gzip.compress(body), {**headers, "Content-Encoding": "gzip"}
+        found = json.loads(self.send(self.url, body, headers, self.timeout))["embeddings"]
+        if len(found) != len(texts) or any(len(v) != self.dimension for v in found):
+            raise ValueError("the service answered with another number of vectors or dimensions")
+        return found
+
+
+class PooledEmbedder:
+    """Several embedders of one model side by side, each with every n-th batch; the order is kept."""
+
+    def __init__(self, inner: list[Embedder], batch: int = 64):
+        self.inner, self.batch = inner, batch
+        self.name, self.dimension = inner[0].name, inner[0].dimension
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        parts = [texts[at : at + self.batch] for at in range(0, len(texts), self.batch)]
+        with ThreadPoolExecutor(len(self.inner)) as pool:
+            done = [pool.submit(lambda own, k: [own.embed_batch(p) for p in parts[k :: len(self.inner)]], e, k) for k, e in enumerate(self.inner)]
+        mine = [iter(d.result()) for d in done]
+        return [v for k in range(len(parts)) for v in next(mine[k % len(mine)])]
 
 
 def _post(url: str, body: bytes, headers: dict, timeout: float) -> bytes:
@@ -226,9 +291,9 @@ def embed_column(embedder: Embedder, size: int = 64, budget: int = 6000):
     return run
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder, cache: DataFrame | None = None, text: str = "text", key: str = "hash") -> DataFrame:
+def embed_chunks(chunks: DataFrame, embedder: Embedder, cache: DataFrame | None = None, text: str = "text", key: str = "hash", size: int = 64) -> DataFrame:
     """chunks with ``vector``: cached where the hash is known, else computed once per distinct hash."""
     todo = chunks if cache is None else chunks.join(cache.select(key), key, "left_anti")
-    fresh = todo.select(key, text).dropDuplicates([key]).select(key, embed_column(embedder)(F.col(text)).alias("vector"))
+    fresh = todo.select(key, text).dropDuplicates([key]).select(key, embed_column(embedder, size)(F.col(text)).alias("vector"))
     known = fresh if cache is None else fresh.unionByName(cache.select(key, "vector").dropDuplicates([key]))
     return chunks.join(known, key, "left")

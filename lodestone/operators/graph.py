@@ -20,6 +20,17 @@ class Graph:
     def symbol(self, symbol_id: str) -> DataFrame:
         return self.symbols.where(F.col("id") == symbol_id)
 
+    def add_symbols(self, rows: DataFrame) -> Graph:
+        """With more symbols; one whose id is there already replaces it."""
+        kept = self.symbols.join(rows.select("id"), "id", "left_anti").select(*self.symbols.columns)
+        return Graph(kept.unionByName(rows), self.edges, self.imports)
+
+    def add_edges(self, rows: DataFrame) -> Graph:
+        return Graph(self.symbols, self.edges.unionByName(rows), self.imports)
+
+    def add_imports(self, rows: DataFrame) -> Graph:
+        return Graph(self.symbols, self.edges, self.imports.unionByName(rows))
+
     def by_name(self, name: str) -> DataFrame:
         return self.symbols.where(F.col("name") == name)
 

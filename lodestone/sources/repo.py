@@ -34,12 +34,12 @@ class RepoSource(DataSource):
         return "path string, length bigint, modified_at timestamp, content binary"
 
     def reader(self, schema):
-        return RepoReader(self.options["path"], self.options.get("ignore_file", ""))
+        return RepoReader(self.options["path"], self.options.get("ignore_file", ""), self.options.get("user_ignore", ""))
 
 
 class RepoReader(DataSourceReader):
-    def __init__(self, root: str, ignore_file: str):
-        self.root, self.ignore = root, (*IGNORE_FILES, *([ignore_file] if ignore_file else []))
+    def __init__(self, root: str, ignore_file: str, user: str = ""):
+        self.root, self.user, self.ignore = root, user, (*IGNORE_FILES, *([ignore_file] if ignore_file else []))
 
     def partitions(self):
         return [InputPartition(e) for e in sorted(os.listdir(self.root)) if not e.startswith(".")] or [InputPartition("")]
@@ -47,7 +47,7 @@ class RepoReader(DataSourceReader):
     def read(self, partition):
         if not partition.value:
             return
-        for rel in walk(self.root, partition.value, self.ignore):
+        for rel in walk(self.root, partition.value, self.ignore, self.user):
             full = os.path.join(self.root, rel)
             try:
                 info = os.stat(full)
@@ -58,6 +58,24 @@ class RepoReader(DataSourceReader):
             yield rel, info.st_size, datetime.fromtimestamp(info.st_mtime, UTC), content
 
 
+def global_ignore() -> str:
+    """The user's own ignore file, where git looks for it by default."""
+    return os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "git", "ignore")
+
+
+def outer_rules(root: str, names: tuple[str, ...], user: str = "") -> list[tuple[str, list]]:
+    """(folder, rules) that hold for a tree from outside it, weakest first: the user's ignore file, the
+    repository's exclude file and the ignore files of the folders above."""
+    root = os.path.realpath(root)
+    above, folder = [], root
+    while os.path.dirname(folder) != folder and not os.path.exists(os.path.join(folder, ".git")):
+        folder = os.path.dirname(folder)
+        above.append(folder)
+    top = folder if os.path.exists(os.path.join(folder, ".git")) else root
+    out = [(top, ignore_rules("", (user or global_ignore(),))), (top, ignore_rules(top, (os.path.join(".git", "info", "exclude"),)))]
+    return [x for x in [*out, *((f, ignore_rules(f, names)) for f in reversed(above))] if x[1]]
+
+
 def ignore_rules(folder: str, names: tuple[str, ...]) -> list[tuple[str, bool, bool, bool]]:
     """(regex, negated, directories only, anchored) of the ignore files in a folder."""
     out = []
@@ -80,14 +98,14 @@ def ignore_rules(folder: str, names: tuple[str, ...]) -> list[tuple[str, bool, b
     return out
 
 
-def walk(root: str, entry: str, names: tuple[str, ...]) -> Iterator[str]:
+def walk(root: str, entry: str, names: tuple[str, ...], user: str = "") -> Iterator[str]:
     """Relative paths of regular files below ``entry``: no hidden entries, no links, ignore files honoured."""
     import re
 
     def ignored(rel: str, is_dir: bool, stack: list[tuple[str, list]]) -> bool:
         out = False
         for base, rules in stack:
-            inner = os.path.relpath(rel, base) if base else rel
+            inner = os.path.relpath(os.path.join(whole, rel), base)
             for rx, negated, folder_only, anchored in rules:
                 if (is_dir or not folder_only) and re.match(rx, inner if anchored else os.path.basename(rel)):
                     out = not negated
@@ -99,18 +117,19 @@ def walk(root: str, entry: str, names: tuple[str, ...]) -> Iterator[str]:
         if os.path.basename(rel).startswith(".") or os.path.islink(full) or ignored(rel, is_dir, stack):
             return
         if is_dir:
-            deeper = [*stack, (rel, ignore_rules(full, names))]
+            deeper = [*stack, (os.path.join(whole, rel), ignore_rules(full, names))]
             for e in sorted(os.listdir(full)):
                 yield from visit(os.path.join(rel, e), deeper)
         elif os.path.isfile(full):
             yield rel
 
-    yield from visit(entry, [("", ignore_rules(root, names))])
+    whole = os.path.realpath(root)
+    yield from visit(entry, [*outer_rules(root, names, user), (whole, ignore_rules(root, names))])
 
 
 def read_repo(spark: SparkSession, root: str, ignore_file: str = "") -> DataFrame:
     spark.dataSource.register(RepoSource)
-    return spark.read.format("repo").option("ignore_file", ignore_file).load(root)
+    return spark.read.format("repo").option("ignore_file", ignore_file).option("user_ignore", global_ignore()).load(root)
 
 
 def text_files(raw: DataFrame) -> DataFrame:

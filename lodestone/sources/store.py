@@ -89,6 +89,14 @@ class Snapshot:
     def metadata(self) -> dict:
         return self.table("metadata").first().asDict()
 
+    def verify(self) -> None:
+        """Raise unless every chunk that the metadata counts is there, with a vector of its dimension."""
+        meta = self.metadata
+        wrong = F.sum((F.coalesce(F.size("vector"), F.lit(-1)) != meta["vector_dim"]).cast("bigint"))
+        held = self.table("chunks").agg(F.count(F.lit(1)).alias("n"), F.coalesce(wrong, F.lit(0)).alias("wrong")).first()
+        if held["n"] != meta["total_chunks"] or held["wrong"]:
+            raise ValueError(f"the index holds {held['n']} of {meta['total_chunks']} chunks, {held['wrong']} of them without a vector of {meta['vector_dim']}")
+
     @property
     def cells(self) -> Cells | None:
         """The neighbour index, where the snapshot has one."""

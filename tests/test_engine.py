@@ -1,12 +1,13 @@
 import json
 import os
+import time
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.api import Engine, load_config, parse_bool, to_json, to_text
-from lodestone.embed import CachedEmbedder, HashingEmbedder, LengthEmbedder, RetryingEmbedder, batch_size, batches, spread_batches
+from lodestone.embed import CachedEmbedder, HashingEmbedder, HttpEmbedder, LengthEmbedder, PooledEmbedder, RetryingEmbedder, batch_size, batches, model_embedder, spread_batches
 from lodestone.plans.planner import SearchOptions
 from lodestone.sources import remote, repo, store, syntax
 from lodestone.streaming import watch
@@ -183,7 +184,6 @@ def test_embedders(spark):
 def test_http_embedder():
     import gzip
 
-    from lodestone.embed import HttpEmbedder
 
     sizes = []
 
@@ -237,3 +237,178 @@ def test_small_parsers(tmp_path):
     assert load_config(str(tmp_path / "c.toml")) == {"embedding": {"name": "hashing"}} and load_config(str(tmp_path / "none")) == {}
     assert repo.relative(os.path.join(str(tmp_path), "a/b"), str(tmp_path)) == "a/b"
     assert F is not None
+
+
+def test_ignore_rules_from_outside_the_tree(spark, tmp_path, monkeypatch):
+    home, top = tmp_path / "home", tmp_path / "top"
+    root = top / "in" / "src"
+    for folder in (home / "git", top / ".git" / "info", root / "deep"):
+        folder.mkdir(parents=True)
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(home))
+    (home / "git" / "ignore").write_text("*.global\n")
+    (top / ".git" / "info" / "exclude").write_text("excluded.py\n")
+    (top / ".gitignore").write_text("*.up\nin/src/anchored.py\n")
+    (root / ".gitignore").write_text("!kept.up\n")
+    for name in ("a.py", "b.global", "excluded.py", "c.up", "kept.up", "anchored.py", "deep/anchored.py", "deep/d.up"):
+        (root / name).write_text("x = 1\n")
+    found = sorted(r["path"] for r in repo.read_repo(spark, str(root)).collect())
+    assert found == ["a.py", "deep/anchored.py", "kept.up"]
+
+
+def test_a_tree_gives_its_own_notifications(spark, tmp_path):
+    root, state = tmp_path / "tree", tmp_path / "state"
+    (root / "d").mkdir(parents=True)
+    (root / "a.py").write_text("a")
+    (root / "d" / "b.py").write_text("b")
+    reader = watch.TreeReader(str(root), str(state), "")
+    start = reader.initialOffset()
+    assert list(reader.read(start)[0]) == []
+    (root / "a.py").unlink()
+    (root / "d" / "b.py").write_text("bb")
+    (root / "c.py").write_text("c")
+    rows, end = reader.read(start)
+    got = [(kind, paths) for kind, paths, _ in rows]
+    assert got == [("remove", ["a.py"]), ("create", ["c.py"]), ("modify", ["d/b.py"])] and end != start
+    assert [(k, p) for k, p, _ in reader.readBetweenOffsets(start, end)] == got
+    (root / "c.py").write_text("ccc")
+    seen = []
+    stream = watch.read_tree(spark, str(root), str(tmp_path / "other"))
+    query = watch.run(stream, lambda changes: seen.extend(tuple(r) for r in changes.collect()), str(tmp_path / "cp"), trigger_ms=200)
+    try:
+        for _ in range(100):
+            if os.path.exists(tmp_path / "other" / "000000000000.json"):
+                break
+            time.sleep(0.1)
+        time.sleep(0.5)
+        (root / "new.py").write_text("n")
+        for _ in range(150):
+            if seen:
+                break
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    assert ("new.py", "touched") in seen
+
+
+def test_readers_of_other_languages():
+    ruby = 'require "json"\nmodule M\n  class A < B\n    def go(x)\n      if x\n        run(x)\n      end\n    end\n\n    def self.make; end\n  end\nend\n\ndef top\n  3\nend\n'
+    symbols, edges, imports = syntax.extract(ruby, "a.rb", "ruby")
+    assert [(s[1], s[3], s[5], s[6]) for s in symbols] == [("M", "module", 2, 12), ("A", "class", 3, 11), ("go", "method", 4, 8), ("make", "method", 10, 10), ("top", "function", 14, 16)]
+    assert imports == [("a.rb", "json", None, 1, False)] and (symbols[2][0], None, "calls", "run") in edges
+    spans = lambda source, language: [(a, b) for a, b, _ in syntax.semantic_chunks(source, language) or []]
+    rows = "x = 1\n" * 60
+    assert spans(f"a = 1\n\n# note\n[t]\n{rows}\n[u]\n{rows}", "toml") == [(1, 64), (66, 126)]
+    assert spans("f() {\n" + " echo x\n" * 60 + "}\n\nfunction g {\n ls\n}\n", "bash") == [(1, 62), (64, 66)]
+    assert spans("@import 'a';\n.a,\n.b {\n" + " c: d;\n" * 60 + "}\n@media x {\n .e { f: g }\n}\n", "css") == [(2, 64), (65, 67)]
+    assert spans('{\n "a": [1, 2]\n}\n', "json") == [(1, 3)] and spans("# c\na:\n  - b\n", "yaml") == [(2, 3)]
+    assert syntax.semantic_chunks("<p>x</p>", "html") is None
+
+
+def test_pools_and_named_models(tmp_path):
+    sent = []
+
+    def send(url, body, headers, timeout):
+        texts = json.loads(body)["texts"]
+        sent.append(len(texts))
+        return json.dumps({"embeddings": [[float(len(t)), 0.0] for t in texts]}).encode()
+
+    texts = ["x" * n for n in range(23)]
+    assert HttpEmbedder("http://x", 2, batch=4, send=send, workers=8).embed_batch(texts) == [[float(n), 0.0] for n in range(23)]
+    assert sorted(sent) == [3, 4, 4, 4, 4, 4]
+    pool = PooledEmbedder([LengthEmbedder(2), LengthEmbedder(2), LengthEmbedder(2)], batch=5)
+    assert pool.embed_batch(texts) == LengthEmbedder(2).embed_batch(texts) and pool.embed_batch([]) == []
+    name, taken = "mxbai-embed-xsmall-v1", []
+    with pytest.raises(FileNotFoundError):
+        model_embedder(name, str(tmp_path), offline=True)
+
+    def get(url, path):
+        taken.append(url)
+        with open(path, "w") as f:
+            f.write("x")
+
+    found = model_embedder(name, str(tmp_path), offline=False, get=get)
+    assert (found.name, found.dimension) == (name, 384) and len(taken) == 5
+    assert model_embedder(name, str(tmp_path), offline=True, get=get).name == name and len(taken) == 5
+
+
+def test_snapshot_is_verified_and_changes_are_pushed(spark, tree, tmp_path):
+    engine = Engine(spark, str(tree), str(tmp_path / "st"), LengthEmbedder(4), batch=16)
+    engine.index()
+    engine.verify()
+    before = engine.store.current()
+    far = FolderStore(str(tmp_path / "far"))
+    engine.push(far, reset=True)
+    all_ids = set(far.ids())
+    (tree / "fresh.py").write_text("def fresh():\n    return 1\n")
+    engine.index(changes=spark.createDataFrame([("fresh.py", "touched")], "path string, op string"))
+    engine.push_changes(far, before)
+    now = {r["hash"] for r in engine.snapshot().table("chunks").select("hash").collect()}
+    assert set(far.ids()) == now and len(now - all_ids) == 1
+    wrong = store.Snapshot(spark, before.root, before.snap)
+    broken = wrong.table("chunks").limit(1)
+    broken.write.parquet(str(tmp_path / "x"))
+    meta = wrong.metadata
+    assert meta["total_chunks"] > 1
+    part = store.Snapshot(spark, str(tmp_path / "st2"), "s")
+    spark.read.parquet(str(tmp_path / "x")).write.parquet(str(tmp_path / "st2" / "snap=s" / "chunks"))
+    wrong.table("metadata").write.parquet(str(tmp_path / "st2" / "snap=s" / "metadata"))
+    with pytest.raises(ValueError):
+        part.verify()
+
+
+class FolderStore:
+    """A remote store as files, so that executors of any process reach it."""
+
+    name, batch = "folder", 10
+
+    def __init__(self, folder):
+        self.folder = folder
+        os.makedirs(folder, exist_ok=True)
+
+    def ids(self):
+        return os.listdir(self.folder)
+
+    def upsert(self, rows):
+        for r in rows:
+            with open(os.path.join(self.folder, r["id"]), "w") as f:
+                f.write(r["path"])
+
+    def delete(self, ids):
+        for i in ids:
+            os.remove(os.path.join(self.folder, i))
+
+    def query(self, vector, k):
+        return []
+
+    def delete_namespace(self):
+        self.delete(self.ids())
+
+
+def test_the_pointer_is_replaced_in_one_step(spark, tmp_path):
+    files = store._Files(spark, str(tmp_path / "p"))
+    files.write("CURRENT", "one")
+    seen = []
+    real = files.context
+
+    class Watched:
+        def rename(self, a, b, how):
+            seen.append(files.read("CURRENT"))
+            real.rename(a, b, how)
+
+    files.context = Watched()
+    files.write("CURRENT", "two")
+    assert seen == ["one"] and files.read("CURRENT") == "two"
+
+
+def test_command_line_options(spark, tree, tmp_path, capsys):
+    from lodestone import cli
+
+    config = tmp_path / "c.toml"
+    config.write_text("remote_provider = 'none'\n")
+    common = ["--store", str(tmp_path / "st"), "--config", str(config)]
+    assert cli.main([*common, "config"]) == 0 and json.loads(capsys.readouterr().out) == {"remote_provider": "none"}
+    assert cli.main([*common, "index", str(tree), "--json", "--profile", "--batch-size", "16"]) == 0
+    out = capsys.readouterr()
+    assert json.loads(out.out)["mode"] == "full" and "build:" in out.err
+    assert cli.main([*common, "search", "parser", "--path", str(tree), "--debug"]) == 0
+    assert "Physical Plan" in capsys.readouterr().err
