@@ -20,7 +20,7 @@ from .operators.ann import Cells
 from .plans.planner import Lexicon, SearchOptions, fields_of, rank_remote, remote_fetch_size, search
 from .sources import repo
 from .sources.remote import RemoteStore, push, withdraw
-from .sources.store import Snapshot, Store, check_model, worktree_main
+from .sources.store import BUCKETS, Snapshot, Store, bucket_of, check_model, worktree_main
 from .streaming import watch as streams
 
 
@@ -60,46 +60,63 @@ class Engine:
         n_files = files.count()
         walked = time.time()
         chunks = chunk.chunk_files(files).persist()
-        report = self._finish(chunks, repo.symbol_graph(files), old, n_files, "full", {"walk": walked - t})
+        chunks.count()
+        parsed = time.time()
+        g = repo.symbol_graph(files)
+        cache = None if old is None else old.table("chunks").select("hash", "vector")
+        report = self._finish(chunks, g, cache, "full", {"walk": walked - t, "chunk": parsed - walked}, n_files=n_files)
         files.unpersist()
         chunks.unpersist()
         return report
 
     def _incremental(self, old: Snapshot, changes: DataFrame) -> Report:
+        """Read the touched paths alone and write the buckets in which a path came, changed or went."""
         t = time.time()
-        touched = changes.where("op = 'touched'").select("path").distinct()
-        # a touched directory stands for all that is now below it
-        now = self._files().withColumn("__up", F.explode(incremental.ancestors(F.col("path")))).join(touched.withColumnRenamed("path", "__up"), "__up", "left_semi").drop("__up").dropDuplicates(["path"]).persist()
         everything = changes.select("path").distinct()
+        touched = [r["path"] for r in changes.where("op = 'touched'").select("path").distinct().collect()]
+        now = repo.text_files(repo.read_paths(self.spark, self.root, touched)).dropDuplicates(["path"]).persist()
+        had = old.table("files").select("path")
+        lost = had.join(incremental.delete_paths(had, everything), "path", "left_anti")
+        buckets = sorted(r[0] for r in lost.unionByName(now.select("path")).select(bucket_of(F.col("path"))).distinct().collect())
+        walked = time.time()
         columns = ["id", "path", "language", "start_line", "end_line", "text", "hash", "modified_at"]
-        kept = incremental.delete_paths(old.table("chunks").select(*columns), everything)
-        chunks = kept.unionByName(chunk.chunk_files(now)).persist()
+        before = old.table("chunks", buckets)
+        chunks = incremental.delete_paths(before.select(*columns), everything).unionByName(chunk.chunk_files(now)).persist()
+        chunks.count()
+        parsed = time.time()
         dead = old.table("symbols").select(F.col("file_path").alias("path")).distinct()
         gone = dead.join(incremental.delete_paths(dead, everything), "path", "left_anti")
         g = old.graph.remove_files(gone).merge(repo.symbol_graph(now))
-        n_files = chunks.select("path").distinct().count()
-        report = self._finish(chunks, g, old, n_files, "incremental", {"walk": time.time() - t})
+        report = self._finish(chunks, g, before.select("hash", "vector"), "incremental", {"walk": walked - t, "chunk": parsed - walked}, old, buckets)
         now.unpersist()
         chunks.unpersist()
         return report
 
-    def _finish(self, chunks: DataFrame, g: graph.Graph, old: Snapshot | None, n_files: int, mode: str, seconds: dict[str, float]) -> Report:
+    def _finish(self, chunks: DataFrame, g: graph.Graph, cache: DataFrame | None, mode: str, seconds: dict[str, float], base: Snapshot | None = None, buckets: tuple | list = (), n_files: int | None = None) -> Report:
         t = time.time()
-        cache = old.table("chunks").select("hash", "vector") if old is not None else None
-        ranked = chunks.withColumn("chunk_idx", F.xxhash64("id"))
+        ranked = chunks.withColumn("chunk_idx", F.xxhash64("id")).withColumn("bucket", bucket_of(F.col("path")))
         embedded = embed_chunks(ranked, self.embedder, cache, size=self.batch).withColumn("bits", vectors.quantise(F.col("vector")))
-        named = graph.chunk_symbol_names(g.symbols, embedded).persist()
-        cells = Cells.fit(named) if named.count() >= ANN_FROM else None
+        named = graph.chunk_symbol_names(g.symbols, embedded)
         fields = fields_of(named)
-        files = hierarchy.files(named)
+        named = named.join(lexical.lengths(named, "chunk_idx", fields), "chunk_idx").persist()
+        n = named.count()
+        embedded_at = time.time()
+        # an update keeps the centres of its base: they are fitted anew by a full build
+        cells = base.cells if base is not None else Cells.fit(named) if n >= ANN_FROM else None
+        rest = [] if base is None else [b for b in range(BUCKETS) if b not in set(buckets)]
+        files = hierarchy.files(named).withColumn("bucket", bucket_of(F.col("path")))
+        lengths, all_files = named.select("dl"), files.drop("bucket")
+        if base is not None:
+            lengths = lengths.unionByName(base.table("chunks", rest).select("dl"))
+            all_files = all_files.unionByName(base.table("files", rest))
         tables = {
-            "chunks": named if cells is None else cells.assign(named), "postings": lexical.postings(named, "chunk_idx", fields), "corpus": lexical.corpus_stats(lexical.lengths(named, "chunk_idx", fields)),
-            "symbols": g.symbols, "edges": g.edges, "imports": g.imports, "files": files, "directories": hierarchy.directories(files),
+            "chunks": named if cells is None else cells.assign(named), "postings": lexical.postings(named, "chunk_idx", fields_of(named), "bucket"), "files": files,
+            "corpus": lexical.corpus_stats(lengths), "directories": hierarchy.directories(all_files), "symbols": g.symbols, "edges": g.edges, "imports": g.imports,
         }
         hits = 0 if cache is None else chunks.join(cache.select("hash"), "hash", "left_semi").count()
-        snap = self.store.save(tables, self.root, self.embedder.dimension, self.embedder.name, n_files, cells=cells)
+        snap = self.store.save(tables, self.root, self.embedder.dimension, self.embedder.name, n_files, cells, base, buckets)
         named.unpersist()
-        return Report(mode, n_files, snap.metadata["total_chunks"], hits, {**seconds, "build": time.time() - t})
+        return Report(mode, snap.metadata["total_files"], snap.metadata["total_chunks"], hits, {**seconds, "embed": embedded_at - t, "build": time.time() - embedded_at})
 
     # --- reading ---------------------------------------------------------------
 

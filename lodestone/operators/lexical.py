@@ -102,15 +102,15 @@ def score(docs: DataFrame, fields: list[Field], terms: Counter, name: str = "bm2
     return score_counts(count_terms(docs, fields, terms), terms, name)
 
 
-def postings(docs: DataFrame, key: str, fields: list[Field]) -> DataFrame:
-    """(key, dl, term, tf): boosted term frequencies, each with its document's length, so that scores need no join."""
+def postings(docs: DataFrame, key: str, fields: list[Field], *more: str) -> DataFrame:
+    """(key, dl, term, tf) and ``more`` columns of the documents: boosted term frequencies, each with its document's length, so that scores need no join."""
 
     def weigh(w: float):
         return lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
 
     weighted = F.concat(*[F.transform(f.terms(), weigh(f.boost)) for f in fields])
-    listed = docs.select(key, _length(fields).alias("dl"), F.explode(weighted).alias("x"))
-    return listed.groupBy(key, "dl", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
+    listed = docs.select(key, *more, _length(fields).alias("dl"), F.explode(weighted).alias("x"))
+    return listed.groupBy(key, *more, "dl", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
 
 
 def lengths(docs: DataFrame, key: str, fields: list[Field]) -> DataFrame:

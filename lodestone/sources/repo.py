@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -34,14 +35,17 @@ class RepoSource(DataSource):
         return "path string, length bigint, modified_at timestamp, content binary"
 
     def reader(self, schema):
-        return RepoReader(self.options["path"], self.options.get("ignore_file", ""), self.options.get("user_ignore", ""))
+        return RepoReader(self.options["path"], self.options.get("ignore_file", ""), self.options.get("user_ignore", ""), self.options.get("only"))
 
 
 class RepoReader(DataSourceReader):
-    def __init__(self, root: str, ignore_file: str, user: str = ""):
+    def __init__(self, root: str, ignore_file: str, user: str = "", only: str | None = None):
+        self.only = None if only is None else json.loads(only)
         self.root, self.user, self.ignore = root, user, (*IGNORE_FILES, *([ignore_file] if ignore_file else []))
 
     def partitions(self):
+        if self.only is not None:
+            return [InputPartition(p) for p in self.only] or [InputPartition("")]
         return [InputPartition(e) for e in sorted(os.listdir(self.root)) if not e.startswith(".")] or [InputPartition("")]
 
     def read(self, partition):
@@ -124,7 +128,17 @@ def walk(root: str, entry: str, names: tuple[str, ...], user: str = "") -> Itera
             yield rel
 
     whole = os.path.realpath(root)
-    yield from visit(entry, [*outer_rules(root, names, user), (whole, ignore_rules(root, names))])
+    stack = [*outer_rules(root, names, user), (whole, ignore_rules(root, names))]
+    # the folders on the way to the entry may hide or ignore it
+    parts, way = entry.split(os.sep), ""
+    if ".." in parts:
+        return
+    for part in parts[:-1]:
+        way = os.path.join(way, part)
+        if part.startswith(".") or os.path.islink(os.path.join(root, way)) or ignored(way, True, stack):
+            return
+        stack = [*stack, (os.path.join(whole, way), ignore_rules(os.path.join(root, way), names))]
+    yield from visit(entry, stack)
 
 
 def read_repo(spark: SparkSession, root: str, ignore_file: str = "") -> DataFrame:
@@ -132,6 +146,13 @@ def read_repo(spark: SparkSession, root: str, ignore_file: str = "") -> DataFram
     return spark.read.format("repo").option("ignore_file", ignore_file).option("user_ignore", global_ignore()).load(root)
 
 
+def read_paths(spark: SparkSession, root: str, only: list[str], ignore_file: str = "") -> DataFrame:
+    """The rows of ``read_repo`` at or below the given relative paths; nothing else is listed or read."""
+    spark.dataSource.register(RepoSource)
+    reader = spark.read.format("repo").option("ignore_file", ignore_file).option("user_ignore", global_ignore())
+    return reader.option("only", json.dumps(sorted(set(only)))).load(root)
+
+
 def text_files(raw: DataFrame) -> DataFrame:
     """Rows of ``schemas.FILES``: kept by path and size, valid UTF-8, with their languages."""
     kept = raw.where(paths.ingestible(F.col("path"), F.col("length")))

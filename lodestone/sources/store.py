@@ -1,11 +1,14 @@
 """Snapshots: the index's tables as Parquet, versioned, with one pointer to the live one.
 
     <root>/snap=<id>/{chunks,postings,corpus,symbols,edges,imports,files,directories,cells,metadata}
+    <root>/snap=<id>/MANIFEST   where each bucket of the bucketed tables lies
     <root>/CURRENT      the id of the live snapshot
     <root>/BUILDING     who builds, while a build runs
 
 A snapshot is written in full before the pointer moves, so readers see the old or
-the new one.  All access goes through Hadoop's file system, so the root may be on
+the new one.  Chunks, postings and files are kept in buckets by path: an update writes the
+buckets it touches, and the new manifest names the old snapshots' files for the others.
+All access goes through Hadoop's file system, so the root may be on
 any store that Spark reads.
 """
 
@@ -16,11 +19,14 @@ import os
 import socket
 import time
 import uuid
+from collections.abc import Iterable
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import FORMAT_VERSION
 from ..operators.ann import Cells
@@ -28,6 +34,13 @@ from ..operators.graph import Graph
 from .. import schemas
 
 GRAPH_TABLES = ("symbols", "edges", "imports")
+#: tables in buckets by path; the number of buckets is part of the format
+BUCKETED = ("chunks", "postings", "files")
+BUCKETS = 64
+
+
+def bucket_of(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
 
 
 class _Files:
@@ -72,8 +85,8 @@ class _Files:
     def delete(self, p: str) -> None:
         self.fs.delete(self.path(p), True)
 
-    def folders(self) -> list[str]:
-        return [s.getPath().getName() for s in self.fs.listStatus(self.path("")) if s.isDirectory()] if self.exists("") else []
+    def folders(self, p: str = "") -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.path(p)) if s.isDirectory()] if self.exists(p) else []
 
 
 @dataclass
@@ -82,8 +95,19 @@ class Snapshot:
     root: str
     snap: str
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/snap={self.snap}/{name}")
+    @cached_property
+    def manifest(self) -> dict:
+        """table -> schema and, for each bucket with rows, the snapshot whose folder holds it."""
+        return json.loads(_Files(self.spark, self.root).read(f"snap={self.snap}/MANIFEST") or "{}")
+
+    def table(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        """A table, or the given buckets of a bucketed one."""
+        entry = self.manifest.get(name)
+        if entry is None:
+            return self.spark.read.parquet(f"{self.root}/snap={self.snap}/{name}")
+        schema, wanted = T.StructType.fromJson(entry["schema"]), None if buckets is None else set(buckets)
+        paths = [f"{self.root}/snap={owner}/{name}/bucket={b}" for b, owner in entry["owner"].items() if wanted is None or int(b) in wanted]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     @property
     def metadata(self) -> dict:
@@ -119,40 +143,68 @@ class Store:
         found = Snapshot(self.spark, self.root, snap.strip())
         return found if found.metadata["version"] == FORMAT_VERSION else None
 
-    def save(self, tables: dict[str, DataFrame], repo_path: str, vector_dim: int, embedding_model: str, total_files: int, postings_sorted: bool = True, cells: Cells | None = None) -> Snapshot:
-        snap = uuid.uuid4().hex
+    def save(
+        self, tables: dict[str, DataFrame], repo_path: str, vector_dim: int, embedding_model: str, total_files: int | None = None, cells: Cells | None = None,
+        base: Snapshot | None = None, touched: Iterable[int] = (),
+    ) -> Snapshot:
+        """Write a snapshot.  Bucketed tables have a column ``bucket``; with a ``base`` they replace its ``touched``
+        buckets and the others stay where they are.  Without ``total_files`` the rows of ``files`` are counted."""
+        snap, manifest = uuid.uuid4().hex, {}
         if cells is not None:
             cells.save(self.spark, f"{self.root}/snap={snap}/cells")
         for name, df in tables.items():
-            if name == "postings" and postings_sorted:  # a query's terms then sit in few row groups
-                df = df.repartitionByRange("term").sortWithinPartitions("term")
-            if name == "chunks" and "cell" in df.columns:  # as do the cells of a query's neighbours
-                df = df.repartitionByRange("cell", "chunk_idx").sortWithinPartitions("cell", "chunk_idx")
-            df.write.option("compression", "zstd").parquet(f"{self.root}/snap={snap}/{name}")
-        n = Snapshot(self.spark, self.root, snap).table("chunks").count()
+            path = f"{self.root}/snap={snap}/{name}"
+            if name not in BUCKETED:
+                df.write.option("compression", "zstd").parquet(path)
+                continue
+            # a query's terms, and the cells of its neighbours, then sit in few row groups
+            order = {"postings": ["bucket", "term"], "chunks": ["bucket", *(["cell"] if "cell" in df.columns else []), "chunk_idx"]}.get(name, ["bucket", "path"])
+            df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+            gone = set(touched)
+            owner = {} if base is None else {b: o for b, o in base.manifest[name]["owner"].items() if int(b) not in gone}
+            owner |= {f.removeprefix("bucket="): snap for f in self.files.folders(f"snap={snap}/{name}") if f.startswith("bucket=")}
+            manifest[name] = {"schema": df.drop("bucket").schema.jsonValue(), "owner": owner}
+        self.files.write(f"snap={snap}/MANIFEST", json.dumps(manifest))
+        found = Snapshot(self.spark, self.root, snap)
+        n = found.table("chunks").count()
+        total_files = found.table("files").count() if total_files is None else total_files
         meta = self.spark.range(1).select(
             F.lit(FORMAT_VERSION).alias("version"), F.lit(repo_path).alias("repo_path"), F.sha2(F.lit(repo_path), 256).alias("repo_hash"), F.lit(vector_dim).alias("vector_dim"),
             F.current_timestamp().alias("indexed_at"), F.lit(total_files).cast("long").alias("total_files"), F.lit(n).cast("long").alias("total_chunks"), F.lit(embedding_model).alias("embedding_model"),
         )
         meta.to(schemas.METADATA).write.parquet(f"{self.root}/snap={snap}/metadata")
         self.files.write("CURRENT", snap)
-        return Snapshot(self.spark, self.root, snap)
+        return found
 
     def prune(self, keep: int = 1) -> None:
-        """Delete snapshots other than the live one and the ``keep - 1`` latest."""
+        """Delete snapshots other than the live one and the ``keep - 1`` latest, and of those whose buckets these still
+        use, all that they do not."""
         live = (self.files.read("CURRENT") or "").strip()
         old = [f for f in self.files.folders() if f.startswith("snap=") and f != f"snap={live}"]
         old.sort(key=lambda f: self.files.fs.getFileStatus(self.files.path(f)).getModificationTime())
-        for f in old[: max(0, len(old) - (keep - 1))]:
-            self.files.delete(f)
+        drop = old[: max(0, len(old) - (keep - 1))]
+        kept = [live, *(f.removeprefix("snap=") for f in old if f not in drop)]
+        used = {f"snap={o}/{name}/bucket={b}" for k in kept for name, e in Snapshot(self.spark, self.root, k).manifest.items() for b, o in e["owner"].items()}
+        for f in drop:
+            if not any(u.startswith(f + "/") for u in used):
+                self.files.delete(f)
+                continue
+            for name in self.files.folders(f):
+                for part in self.files.folders(f"{f}/{name}"):
+                    if part.startswith("bucket=") and f"{f}/{name}/{part}" not in used:
+                        self.files.delete(f"{f}/{name}/{part}")
+                if name not in BUCKETED:
+                    self.files.delete(f"{f}/{name}")
 
     def clone_from(self, other: Store) -> bool:
         """Start from another checkout's live snapshot where this store has none."""
         source = other.current()
         if source is None or self.current() is not None:
             return False
-        jvm, name = self.spark._jvm, f"snap={source.snap}"
-        jvm.org.apache.hadoop.fs.FileUtil.copy(other.files.fs, other.files.path(name), self.files.fs, self.files.path(name), False, self.spark._jsc.hadoopConfiguration())
+        jvm = self.spark._jvm
+        for snap in {source.snap, *(o for e in source.manifest.values() for o in e["owner"].values())}:
+            name = f"snap={snap}"
+            jvm.org.apache.hadoop.fs.FileUtil.copy(other.files.fs, other.files.path(name), self.files.fs, self.files.path(name), False, self.spark._jsc.hadoopConfiguration())
         self.files.write("CURRENT", source.snap)
         return True
 
