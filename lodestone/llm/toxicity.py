@@ -35,6 +35,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,42 +119,66 @@ class Chain:
         return _predict(self.weights, x)
 
 
+def _hash(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature)
+
+
 def _seeded(found: set[str]) -> list[bool]:
     return [not found.isdisjoint(words.split()) for words in SEEDS.values()]
 
 
 class Sample:
-    """The labelled texts as numbered features: of each row the numbers, sorted."""
+    """The labelled texts as numbered features: of each row the numbers, sorted.
+
+    A feature stands here by its hash, so that no dictionary of all words is held; features of fewer
+    than three rows are left out, as no choice takes them.
+    """
 
     def __init__(self, texts: list[str], toxic: np.ndarray) -> None:
         self.y = np.asarray(toxic, float)
-        number: dict[str, int] = {}
-        self.rows, seeded = [], []
+        hashed, seeded = [], []
         for text in texts:
             found = features(text)
             seeded.append(_seeded(found))
-            self.rows.append(np.sort(np.array([number.setdefault(f, len(number)) for f in found], np.int32)))
-        self.names = sorted(number)
-        self.rank = np.empty(len(number), np.int64)
-        self.rank[[number[f] for f in self.names]] = np.arange(len(number))
-        self.names = list(number)
+            hashed.append(np.fromiter((_hash(f) for f in found), np.uint64, len(found)))
+        kinds, count = np.unique(np.concatenate([*hashed, np.zeros(0, np.uint64)]), return_counts=True)
+        self.hashes = kinds[count >= 3]
+        self.rows = []
+        for row in hashed:
+            at = np.searchsorted(self.hashes, row)
+            there = at < len(self.hashes)
+            there[there] = self.hashes[at[there]] == row[there]
+            self.rows.append(np.sort(at[there]).astype(np.int32))
         weak = np.array(seeded, float).reshape(len(self.y), len(SEEDS)) * self.y[:, None]
         self.targets = np.hstack([weak, self.y[:, None]])
 
+    def named(self, texts: list[str], chosen: np.ndarray) -> dict[str, int]:
+        """The chosen features by name, from a second pass over the texts."""
+        place = {int(self.hashes[f]): k for k, f in enumerate(chosen)}
+        out: dict[str, int] = {}
+        for text in texts:
+            if len(out) == len(place):
+                break
+            for f in features(text):
+                k = place.get(_hash(f))
+                if k is not None:
+                    out[f] = k
+        return out
+
     def choose(self, part: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
         """The features most tied to the label among the rows ``part``, and their weights."""
         y = self.y[part] > 0
-        counts = [np.bincount(np.concatenate([self.rows[r] for r in part[y == kind]] or [np.zeros(0, np.int32)]), minlength=len(self.names)) for kind in (True, False)]
+        counts = [np.bincount(np.concatenate([self.rows[r] for r in part[y == kind]] or [np.zeros(0, np.int32)]), minlength=len(self.hashes)) for kind in (True, False)]
         often = np.flatnonzero(counts[0] + counts[1] >= 3)
         hit, miss = (c[often] + 0.5 for c in counts)
         ratio = np.log((hit / (y.sum() + 1)) / (miss / ((~y).sum() + 1)))
         z = np.abs(ratio) / np.sqrt(1 / hit + 1 / miss)
-        # ties by name, so that the order of the texts does not matter
-        order = np.lexsort((self.rank[often], -z))[:n_features]
+        # ties by hash, so that the order of the texts does not matter
+        order = np.lexsort((often, -z))[:n_features]
         return often[order], np.abs(ratio[order])
 
     def matrix(self, part: np.ndarray, chosen: np.ndarray, scale: np.ndarray) -> np.ndarray:
-        place = np.full(len(self.names) + 1, -1)
+        place = np.full(len(self.hashes) + 1, -1)
         place[chosen] = np.arange(len(chosen))
         x = np.zeros((len(part), len(chosen)), np.float32)
         for k, r in enumerate(part):
@@ -224,8 +249,7 @@ def fit(texts: list[str], toxic: np.ndarray, n_features: int = 800, folds: int =
     every = np.arange(len(y))
     probs = out_of_fold(data, every, n_features, (folds,), least)
     chosen, scale, weights = chain(data, every, n_features, (), least, probs)
-    index = {data.names[f]: k for k, f in enumerate(chosen)}
-    return Chain(index, scale, weights, _threshold(probs[:, -1], y), probs=probs)
+    return Chain(data.named(texts, chosen), scale, weights, _threshold(probs[:, -1], y), probs=probs)
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
