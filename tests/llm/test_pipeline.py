@@ -60,3 +60,39 @@ def test_empty_documents_end_at_the_packing_stage(spark):
     bins = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert sorted(d for r in bins.collect() for d in r["doc_ids"]) == [1, 4]
     assert "empty or null text" in packing.sequences.__doc__
+
+
+def test_nulls_repeats_and_long_texts_pass_every_stage(spark, tmp_path):
+    """What the docstring of the pipeline states of odd rows, stage by stage."""
+    rng = random.Random(23)
+    text = lambda n=60: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    a, b, long = text(), text(), text(30_000)
+    rows = [(1, a), (1, a), (5, a), (5, b), (6, b), (7, ""), (7, None), (None, text()), (None, None), (8, long), (9, "x" * 200_000)]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == columns
+        docs.write.parquet(f"{sf}/{name}")
+        docs = spark.read.parquet(f"{sf}/{name}")
+        kept[name] = sorted((r["doc_id"] or 0, r["text"] or "") for r in docs.collect())
+    assert kept["toxicity"] == sorted((i or 0, t or "") for i, t in rows)
+    without = [(1, a), (5, a), (6, b)]
+    want = list(kept["toxicity"])
+    for row in without:
+        want.remove(row)
+    assert kept["near_dedup"] == want == kept["secrets"] and (5, b) in want
+    bins = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert sum(r["used"] for r in bins) == sum(len(t.encode()) for _, t in want) and all(len(r["payload"]) == r["used"] for r in bins)
+
+
+def test_nothing_goes_through_every_stage(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
