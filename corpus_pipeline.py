@@ -3,6 +3,12 @@
 Each stage reads what its predecessor kept, as Parquet: toxic documents go, one
 document of each near-duplicate group stays, documents that hold a benchmark
 item go, secrets are masked in the text, and what is left is packed.
+
+Defined results: a null text counts as empty; a document without text passes every filter and ends at
+packing, as it holds nothing; of equal rows one stays, of an id with several texts each that is no
+duplicate of another; rows without id are filtered like any other; without labels of both kinds
+nothing is toxic; a null source is one unnamed repository; very long texts are read whole; an empty
+table gives empty stages; columns beyond those of documents are carried to the last stage.
 """
 
 from __future__ import annotations
