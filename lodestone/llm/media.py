@@ -14,7 +14,9 @@ detects shots where the luma histogram changes by more than the mean plus
 ``k`` deviations of the differences around it.
 
 Defined results: a null or empty payload becomes 64 zero bytes, one frame, one
-clip; a file without frames has no clips; equal bytes give equal files.
+clip; a file without frames has no clips; equal bytes give equal files; a very long text becomes one
+file of as many frames as it needs, held in memory by itself; repeated rows each give a row; an empty table
+gives an empty result; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -66,6 +66,29 @@ def test_models_cope_with_anything(spark):
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), labels)).count() == 0
 
 
+def test_scores_equal_a_plain_walk_over_passages():
+    """Passage features' shape, gates and weighted mean, document by document and number by number."""
+    import math
+
+    rows = labelled(30)
+    texts = [t for _, t, _, _ in rows] + ["", "one", "w " * 1000]
+    bags = [quality.passages(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in texts]
+    x, bag = np.concatenate(bags), np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    assert [len(b) for b in bags] == [max(1, -(-len(t.split()) // quality.PASSAGE)) for t in texts]
+    model = quality.fit(x, bag, np.array([q for _, _, q, _ in rows] + [0, 0, 1]), steps=60)
+    p = model.params
+    for k, score in enumerate(model.score(x, bag)):
+        encoded, strength = [], []
+        for row in x[bag[k] : bag[k + 1]]:
+            z = [(v - m) / s for v, m, s in zip(row, model.mean, model.spread, strict=True)]
+            h = [math.tanh(sum(a * w for a, w in zip(z, p["E"][:, j], strict=True)) + p["e"][j]) for j in range(p["E"].shape[1])]
+            gate = [math.tanh(sum(a * w for a, w in zip(h, p["V"][:, j], strict=True))) / (1 + math.exp(-sum(a * w for a, w in zip(h, p["U"][:, j], strict=True)))) for j in range(p["V"].shape[1])]
+            encoded.append(h)
+            strength.append(math.exp(sum(a * w for a, w in zip(gate, p["w"], strict=True))))
+        mean = [sum(s * h[j] for s, h in zip(strength, encoded, strict=True)) / sum(strength) for j in range(len(encoded[0]))]
+        assert abs(1 / (1 + math.exp(-sum(a * c for a, c in zip(mean, p["c"], strict=True)) - p["b"][0])) - score) < 1e-4
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     x, bag, y = rng.normal(size=(30, 5)).astype(np.float32), np.array([0, 4, 11, 20, 30]), np.array([0, 1, 0, 1])
