@@ -33,31 +33,36 @@ UPSERT_BATCH, UPSERT_LARGE_BATCH, ATTRIBUTE_BYTES = 100, 1000, 3800
 
 #: Stop words of keyword extraction.
 STOP_WORDS = (
-    "the and for but with from this that into when what how why does are our your their then where located find show "
-    "get can will should would could"
-).split()
+    "the", "and", "for", "but", "with", "from", "this", "that", "into", "when", "what", "how", "why", "does", "are", "our", "your", "their",
+    "then", "where", "located", "find", "show", "get", "can", "will", "should", "would", "could",
+)
 
 #: Suffixes in the order in which stemming tries them.
-SUFFIXES = "ization isation ation sion ion ment ness able ible ing ings ier ors ers or er ed es s".split()
+SUFFIXES = (
+    "ization", "isation", "ation", "sion", "ion", "ment", "ness", "able", "ible", "ing", "ings", "ier", "ors", "ers", "or", "er", "ed",
+    "es", "s",
+)
 
 #: Characters that count as one token each.
 PUNCTUATION = "()[]{}<>;:,.=+-*/%!&|^~?@#$\\"
 
 #: Extensions of files that are not text.
 BINARY_EXTENSIONS = (
-    "png jpg jpeg gif bmp svg ico webp avif psd tiff tif jxl heic heif jp2 jpx pic icns cur raw arw cr2 nef dng mp4 "
-    "mov avi mkv webm wmv flv m4v mp3 wav flac ogg aac m4a wma pdf doc docx xls xlsx ppt pptx zip gz bz2 7z rar "
-    "tar xz zst exe dll so a dylib bin msi class wasm pyc pyo woff woff2 ttf otf eot glb gltf obj fbx stl blend "
-    "sqlite sqlite3 db mdb"
-).split()
+    "png", "jpg", "jpeg", "gif", "bmp", "svg", "ico", "webp", "avif", "psd", "tiff", "tif", "jxl", "heic", "heif", "jp2", "jpx", "pic",
+    "icns", "cur", "raw", "arw", "cr2", "nef", "dng", "mp4", "mov", "avi", "mkv", "webm", "wmv", "flv", "m4v", "mp3", "wav", "flac", "ogg",
+    "aac", "m4a", "wma", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "gz", "bz2", "7z", "rar", "tar", "xz", "zst", "exe",
+    "dll", "so", "a", "dylib", "bin", "msi", "class", "wasm", "pyc", "pyo", "woff", "woff2", "ttf", "otf", "eot", "glb", "gltf", "obj",
+    "fbx", "stl", "blend", "sqlite", "sqlite3", "db", "mdb",
+)
 
 #: Paths that ingestion skips.
 DEFAULT_IGNORE = (
-    ".git .git/ .hg/ .svn/ node_modules/ vendor/ target/ dist/ build/ out/ .next/ .nuxt/ venv/ env/ .env/ __pycache__/ *.pyc "
-    ".idea/ .vscode/ .vs/ *.swp *.swo *~ .DS_Store .cache/ .tmp/ tmp/ temp/ *.log *.tmp .fastembed_cache/ models/ .models/ data/ "
-    ".data/ *.o *.so *.dylib *.dll *.exe *.out *.app *.class *.jar *.war package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock "
-    "poetry.lock Pipfile.lock Gemfile.lock *.min.js *.min.css *.bundle.js *-min.js"
-).split()
+    ".git", ".git/", ".hg/", ".svn/", "node_modules/", "vendor/", "target/", "dist/", "build/", "out/", ".next/", ".nuxt/", "venv/", "env/",
+    ".env/", "__pycache__/", "*.pyc", ".idea/", ".vscode/", ".vs/", "*.swp", "*.swo", "*~", ".DS_Store", ".cache/", ".tmp/", "tmp/",
+    "temp/", "*.log", "*.tmp", ".fastembed_cache/", "models/", ".models/", "data/", ".data/", "*.o", "*.so", "*.dylib", "*.dll", "*.exe",
+    "*.out", "*.app", "*.class", "*.jar", "*.war", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock",
+    "Pipfile.lock", "Gemfile.lock", "*.min.js", "*.min.css", "*.bundle.js", "*-min.js",
+)
 
 #: Language label -> extensions, for chunking.
 LANGUAGES = {

@@ -150,4 +150,4 @@ def default_excludes() -> list[str]:
 def ingestible(path: Column, length: Column) -> Column:
     """Not excluded, not binary and not too large."""
     ext = extension(path)
-    return ~glob_filter(path, default_excludes()) & ~ext.isin(BINARY_EXTENSIONS) & (F.lower(ext) != "min") & (length <= MAX_FILE_BYTES)
+    return ~glob_filter(path, default_excludes()) & ~ext.isin(*BINARY_EXTENSIONS) & (F.lower(ext) != "min") & (length <= MAX_FILE_BYTES)
