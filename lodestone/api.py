@@ -37,6 +37,8 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, store: str, embedder: Embedder | None = None, main_store: str | None = None, batch: int | None = None):
         self.spark, self.root, self.embedder, self.batch = spark, root, embedder or HashingEmbedder(), batch_size(batch)
         self.store = Store(spark, store)
+        #: the latest snapshot's postings, and how often a search found them at hand
+        self.lexicon_of, self.lexicon_hits, self.lexicon_misses = None, 0, 0
         if main_store and worktree_main(root):
             self.store.clone_from(Store(spark, main_store))
 
@@ -138,10 +140,17 @@ class Engine:
     def search(self, query: str, options: SearchOptions | None = None) -> DataFrame:
         options = options or SearchOptions()
         snap = self.snapshot()
-        lexicon = Lexicon(snap.table("postings"), snap.table("corpus"))
-        found = search(snap.table("chunks"), query, self._embed, options, snap.metadata["total_chunks"], lexicon, snap.cells)
+        found = search(snap.table("chunks"), query, self._embed, options, snap.metadata["total_chunks"], self._lexicon(snap), snap.cells)
         return found.withColumn("snippet", tx.snippet(F.col("text"), options.full_context))
 
+    def _lexicon(self, snap: Snapshot) -> Lexicon:
+        if self.lexicon_of is not None and self.lexicon_of[0] == snap.snap:
+            self.lexicon_hits += 1
+        else:
+            self.lexicon_misses += 1
+            self.lexicon_of = snap.snap, Lexicon(snap.table("postings"), snap.table("corpus"))
+        return self.lexicon_of[1]
+
     def search_files(self, query: str, limit: int = 10) -> DataFrame:
         return hierarchy.search(self.snapshot().table("files"), vectors.literal(self._embed(query)), limit)
 

@@ -123,8 +123,12 @@ class Snapshot:
 
     @property
     def cells(self) -> Cells | None:
-        """The neighbour index, where the snapshot has one."""
-        return Cells.load(self.spark, f"{self.root}/snap={self.snap}/cells") if _Files(self.spark, self.root).exists(f"snap={self.snap}/cells") else None
+        """The neighbour index; None where the snapshot has none, or one that does not fit its vectors."""
+        if not _Files(self.spark, self.root).exists(f"snap={self.snap}/cells"):
+            return None
+        found = Cells.load(self.spark, f"{self.root}/snap={self.snap}/cells")
+        fits = found.centres.ndim == 2 and found.centres.shape[1] == self.metadata["vector_dim"] and "cell" in self.table("chunks").columns
+        return found if fits else None
 
     @property
     def graph(self) -> Graph:

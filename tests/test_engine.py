@@ -412,3 +412,32 @@ def test_command_line_options(spark, tree, tmp_path, capsys):
     assert json.loads(out.out)["mode"] == "full" and "build:" in out.err
     assert cli.main([*common, "search", "parser", "--path", str(tree), "--debug"]) == 0
     assert "Physical Plan" in capsys.readouterr().err
+
+
+def test_an_update_writes_the_touched_buckets_only(spark, tree, tmp_path):
+    for k in range(30):
+        (tree / f"many{k}.py").write_text(f"def many{k}():\n    return shared({k})\n")
+    engine = Engine(spark, str(tree), str(tmp_path / "st"), HashingEmbedder(16))
+    engine.index()
+    first = engine.store.current()
+    assert engine.search("many3 shared").count() > 0 and engine.search("many4").count() > 0
+    assert (engine.lexicon_misses, engine.lexicon_hits) == (1, 1)
+    (tree / "many3.py").write_text("def renewed():\n    return 3\n")
+    (tree / "many4.py").unlink()
+    report = engine.index(changes=spark.createDataFrame([("many3.py", "touched"), ("many4.py", "deleted")], "path string, op string"))
+    now = engine.store.current()
+    moved = {b for b, o in now.manifest["chunks"]["owner"].items() if o == now.snap}
+    assert report.mode == "incremental" and 1 <= len(moved) <= 2 and len(now.manifest["chunks"]["owner"]) > 10
+    # the same tables as those of a build from nothing
+    other = Engine(spark, str(tree), str(tmp_path / "other"), HashingEmbedder(16))
+    other.index()
+    whole = other.store.current()
+    for name in ("chunks", "postings", "files", "corpus", "directories", "symbols", "imports"):
+        mine, theirs = now.table(name), whole.table(name)
+        assert set(mine.columns) == set(theirs.columns)
+        cols = [c for c in theirs.columns if c not in ("modified_at", "vector")]
+        flat = lambda df, cols=cols: sorted(str(r) for r in df.select(*cols).collect())
+        assert flat(mine) == flat(theirs), name
+    engine.store.prune()
+    assert engine.store.current().table("chunks").count() == whole.table("chunks").count() and first.snap != now.snap
+    engine.verify()
