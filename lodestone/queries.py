@@ -52,9 +52,9 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, sf: str) -> DataFrame:
-    """chunks with vectors (those that have one)."""
-    vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_idx"), F.col("embedding").alias("vector"), "label")
-    return chunks(spark, sf).join(vec, "chunk_idx")
+    """All chunks with vectors; where there are fewer vectors than documents, they go round."""
+    vec = table(spark, sf, "embeddings").select(F.col("vec_id").alias("__vec"), F.col("embedding").alias("vector"), "label")
+    return chunks(spark, sf).withColumn("__vec", F.col("chunk_idx") % max(vec.count(), 1)).join(vec, "__vec").drop("__vec")
 
 
 def vecs(spark: SparkSession, sf: str) -> DataFrame:

@@ -71,7 +71,7 @@ def file_stem(p: str) -> str:
 CH = f"""ch as (select doc_id as chunk_idx, cast(doc_id as varchar) as id,
   source || '/' || lang || '/doc_' || doc_id || case lang {" ".join(f"when '{k}' then '{v}'" for k, v in EXT.items())} end as path,
   lang as language, text, sha256(text) as hash from documents)"""
-IX = "ix as (select ch.*, embedding as vector from ch join embeddings on chunk_idx = vec_id)"
+IX = "ix as (select ch.*, embedding as vector from ch join embeddings on chunk_idx % (select count(*) from embeddings) = vec_id)"
 QV = "(select embedding from embeddings where vec_id = 0)"
 
 
@@ -219,7 +219,7 @@ add("hybrid_filtered", hybrid("(starts_with(path, 'src1/') or starts_with(path,
 add("hybrid_hnsw", hybrid(f"chunk_idx in (select chunk_idx from ix order by round(list_cosine_similarity(cast(vector as double[]), cast({QV} as double[])), 6) desc, chunk_idx limit 40)"))
 add("hybrid_binary", hybrid(f"chunk_idx in (select chunk_idx from ix order by {_QHAM}, chunk_idx limit 100)"))
 _PICK = "case when n >= 1000 then 'binary' when n >= 500 then 'ann' else 'linear' end"
-add("strategy_pick", f"select cast(n as varchar) as n, {_PICK} as plain, 'linear' as filtered from (select unnest([1, 499, 500, 999, 1000, 100000]) as n) union all select 'corpus', {_PICK}, 'linear' from (select count(*) as n from documents join embeddings on doc_id = vec_id)")
+add("strategy_pick", f"select cast(n as varchar) as n, {_PICK} as plain, 'linear' as filtered from (select unnest([1, 499, 500, 999, 1000, 100000]) as n) union all select 'corpus', {_PICK}, 'linear' from (select count(*) as n from documents)")
 add("prf_terms", f"{two_pass()} select term, n from ft")
 add("prf_expanded_query", f"{two_pass()} select q as expanded from xq")
 add("prf_two_pass", f"{two_pass()} select chunk_idx, round(score, 6) as score from merged")
