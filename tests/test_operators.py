@@ -204,3 +204,14 @@ def test_bursts_of_a_table_equal_a_plain_walk(spark, gap):
         want[-1][3 if op == "touched" else 4].add(path)
     got = incremental.sessions(spark.createDataFrame(rows, "ts timestamp_ntz, path string, op string"), gap=gap).orderBy("started").collect()
     assert [(r["started"], r["ends"], r["n_events"], r["touched"], r["deleted"]) for r in got] == [(a, b + limit, n, sorted(t), sorted(d)) for a, b, n, t, d in want]
+
+
+def test_graph_takes_more_rows(spark):
+    from lodestone import schemas
+
+    symbol = lambda i, name: (i, name, name, "function", "a.py", 1, 2, "python", "def", None, None)
+    g = graph.Graph(*(spark.createDataFrame(rows, s) for rows, s in (([symbol("1", "f")], schemas.SYMBOLS), ([], schemas.EDGES), ([], schemas.IMPORTS))))
+    g = g.add_symbols(spark.createDataFrame([symbol("1", "renamed"), symbol("2", "g")], schemas.SYMBOLS))
+    g = g.add_edges(spark.createDataFrame([("1", "2", "calls", None)], schemas.EDGES)).add_imports(spark.createDataFrame([("a.py", "os", None, 1, False)], schemas.IMPORTS))
+    assert g.symbol("1").first()["name"] == "renamed" and g.symbols.count() == 2
+    assert [r["id"] for r in g.callees("1").collect()] == ["2"] and g.imports_of("a.py").count() == 1
