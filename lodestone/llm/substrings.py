@@ -1,17 +1,18 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence ends at a full stop, exclamation or question mark or line break; one of more than
-``longest`` words is cut further, after each word that is
+``longest`` words is cut into parts, after each word that is
 the least of some ``longest`` consecutive ones by hash (a sentence end comes
-before all others, then the leftmost).  So no sentence, in this sense, has more words than that, and
-whether a cut stands after a word depends on no word further away.  Every run of ``run``
-consecutive sentences is a span, however few words it has; longer runs need no hash of their own, as a repeated run's
-shorter ones repeat too and cover it.  All spans are hashed and joined over the corpus; each
+before all others, then the leftmost).  So no part has more words than that, and
+whether a cut stands after a word depends on no word further away.  From every part on, a span is the
+run that first reaches ``run`` sentence ends, however few its words, or ``words`` words, however few its
+sentences; where none ends with the text, the shortest such run that does is one more.  Longer runs need no hash of
+their own, as a repeated run's shorter ones repeat too and cover it.  All spans are hashed and joined over the corpus; each
 occurrence but the first (least doc_id, then least text hash and offset) is removed.
 
 With the defaults, any 50 consecutive words hold a whole span that is cut alike wherever
-they stand: the cuts after words 7 to 44 depend on these 50 words alone, one is among
-words 7 to 13, and the four sentences behind it end 28 words later at most.
+they stand: the cuts after words 8 to 43 depend on these 50 words alone, one is among
+words 8 to 15, and the span that starts behind it ends 27 words later at most.
 
 A span that a document holds before is marked where the document is read.  Between
 documents, a pre-combined count per span tells the spans that several rows hold; only
@@ -22,8 +23,8 @@ Defined results: words are what whitespace separates, lower-cased; what has no l
 digit is no word and belongs to the word before it; a null text stays null and has no
 spans; rows that share both id and text count as one document (equal spans of theirs are
 kept), as do rows without id that share the text; a null id sorts after all others; texts
-of one id count against one another by their hash; a text with fewer sentences than a
-span needs is left as it is; a very long text is read whole, in time in proportion to its length and
+of one id count against one another by their hash; a text with fewer sentences and
+words than a span needs is left as it is; a very long text is read whole, in time in proportion to its length and
 cuts; an empty table gives an empty result; other columns are carried through, whatever their names.
 """
 
@@ -57,7 +58,7 @@ def folded(text: pa.Array) -> pa.Array:
 
 
 def _units(data: np.ndarray, offsets: np.ndarray, longest: int) -> tuple[np.ndarray, ...]:
-    """Of the rows' folded bytes: row, first word, last word, start and end character of each sentence; each word's hash."""
+    """Of the rows' folded bytes: row, first word, last word, start and end character of each part and whether a sentence ends there; each word's hash."""
     starts, ends, _ = at.words(data, offsets)
     marks = np.concatenate([[0], np.cumsum(_ALNUM[data])])
     real = marks[ends] > marks[starts]
@@ -65,7 +66,7 @@ def _units(data: np.ndarray, offsets: np.ndarray, longest: int) -> tuple[np.ndar
     n = len(starts)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, np.zeros(0, U)
+        return none, none, none, none, none, np.zeros(0, bool), np.zeros(0, U)
     h = at.word_hashes(data, starts, ends, _CODES)
     row = np.searchsorted(offsets, starts, "right") - 1
     last = np.append(row[1:] != row[:-1], True)
@@ -83,17 +84,24 @@ def _units(data: np.ndarray, offsets: np.ndarray, longest: int) -> tuple[np.ndar
     first = np.append(0, to[:-1] + 1)
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     base = chars[offsets[row[to]]]
-    return row[to], first, to, chars[starts[first]] - base, chars[stops[to]] - base, h
-
-
-def _spans(data: np.ndarray, offsets: np.ndarray, run: int, longest: int) -> tuple[np.ndarray, ...]:
-    """Of the rows' folded bytes: row, hash, start and end of each run of sentences."""
-    row, first, to, start, end, h = _units(data, offsets, longest)
-    i = np.arange(max(0, len(row) - run + 1))
-    i = i[row[i] == row[i + run - 1]]
-    j = i + run - 1
-    mult = at.mix(np.arange(1, run * longest + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+    return row[to], first, to, chars[starts[first]] - base, chars[stops[to]] - base, (close | last)[to], h
+
+
+def _spans(data: np.ndarray, offsets: np.ndarray, run: int, words: int, longest: int) -> tuple[np.ndarray, ...]:
+    """Of the rows' folded bytes: row, hash, start and end of the span from each part, where there is one, and of those at the rows' ends."""
+    row, first, to, start, end, stop, h = _units(data, offsets, longest)
+    n = len(row)
+    ends = np.cumsum(stop)
+    before = ends - stop
+    j = np.minimum(np.searchsorted(ends, before + run), np.searchsorted(to, first + words - 1))
+    i = np.flatnonzero(j < n)
+    i = i[row[j[i]] == row[i]]
+    final = np.flatnonzero(np.append(row[1:] != row[:-1], True)) if n else i
+    k = np.maximum(np.searchsorted(before, ends[final] - run, "right"), np.searchsorted(first, to[final] - words + 1, "right")) - 1
+    short = (k >= 0) & (row[k] == row[final]) & (j[k] < final)
+    i, j = np.concatenate([i, k[short]]), np.concatenate([j[i], final[short]])
     size = to[j] - first[i] + 1
+    mult = at.mix(np.arange(1, words + longest + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
     total = size.astype(U)
     for k in range(int(size.max(initial=0))):
         more = np.flatnonzero(size > k)
@@ -106,24 +114,24 @@ def _bytes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return data, np.array([0, len(data)])
 
 
-def units(text: str, longest: int = 7) -> list[tuple[int, int, int]]:
-    """(start, end, words) of each sentence; together they cover the text from its first word on."""
-    _, first, to, start, end, _ = _units(*_bytes(text), longest)
+def units(text: str, longest: int = 8) -> list[tuple[int, int, int]]:
+    """(start, end, words) of each part; together they cover the text from its first word on."""
+    _, first, to, start, end, *_ = _units(*_bytes(text), longest)
     return list(zip(start.tolist(), end.tolist(), (to - first + 1).tolist(), strict=True))
 
 
-def spans(text: str, run: int = 4, longest: int = 7) -> list[tuple[int, int, int]]:
+def spans(text: str, run: int = 4, words: int = 20, longest: int = 8) -> list[tuple[int, int, int]]:
     """(hash, start, end) of the spans of one text."""
-    _, h, start, end = _spans(*_bytes(text), run, longest)
+    _, h, start, end = _spans(*_bytes(text), run, words, longest)
     return list(zip(h.tolist(), start.tolist(), end.tolist(), strict=True))
 
 
-def _emit(run: int, longest: int):
+def _emit(run: int, words: int, longest: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["__id", "__th", "__ref"]
         plain = (pa.record_batch([*(b.column(n) for n in names), folded(b.column("__text"))], names=[*names, "__text"]) for b in batches)
         for part, data, offsets in at.slices(plain, "__text"):
-            row, h, start, end = _spans(data, offsets, run, longest)
+            row, h, start, end = _spans(data, offsets, run, words, longest)
             order = np.lexsort((h, row))
             again = np.zeros(len(h), bool)
             again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
@@ -133,12 +141,12 @@ def _emit(run: int, longest: int):
     return emit
 
 
-def repeated(docs: DataFrame, run: int = 4, longest: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated(docs: DataFrame, run: int = 4, words: int = 20, longest: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(__id, __th, __cut): the ranges of each (id, text hash) that an earlier span holds already."""
     src = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__th"), F.monotonically_increasing_id().alias("__ref"), F.col(text).alias("__text"))
     i64 = T.LongType()
     schema = T.StructType([T.StructField("h", i64), src.schema["__id"], T.StructField("__th", i64), T.StructField("__ref", i64), T.StructField("at", i64), T.StructField("again", T.BooleanType())])
-    occ = cut(src.mapInArrow(_emit(run, longest), schema), "spans")
+    occ = cut(src.mapInArrow(_emit(run, words, longest), schema), "spans")
     # a row's number stands for its id and text hash until few spans are left
     heads = occ.where("not again").select("h", "__ref", "at")
     # rows that share id and text count here as well; the comparison below keeps them
@@ -156,12 +164,12 @@ def repeated(docs: DataFrame, run: int = 4, longest: int = 7, doc_id: str = "doc
     return ranges
 
 
-def remove_repeated(docs: DataFrame, run: int = 4, longest: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeated(docs: DataFrame, run: int = 4, words: int = 20, longest: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated spans cut out of ``text``; one more column, ``__cut`` (with more
     underscores where ``docs`` has one so named), lists the ranges cut (null: none)."""
     names = docs.columns
     i, h, ranges = (fresh(n, *names) for n in ("__id", "__th", "__cut"))
-    found = repeated(docs, run, longest, doc_id, text).toDF(i, h, ranges)
+    found = repeated(docs, run, words, longest, doc_id, text).toDF(i, h, ranges)
     joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text)) == F.col(h)), "left")
     left = F.when(F.col(ranges).isNull(), F.col(text)).otherwise(without(F.col(text), F.col(ranges)))
     return joined.withColumn(text, left).select(*[F.col(f"`{n}`") for n in names], ranges)

@@ -179,8 +179,8 @@ def test_components(spark):
 PASSAGE = "The first planted sentence has some words in it. Another one follows here, longer than the first by far and away. And a third one closes the passage with a few more words than needed for the test to pass at all."
 
 
-def plain_sentences(text, longest=7):
-    """(words, start, end) of each sentence, cut by the rule as the docstring states it, word by word."""
+def plain_parts(text, longest=8):
+    """(words, start, end, whether a sentence ends) of each part, cut by the rule as the docstring states it, word by word."""
     found = [(m.start(), m.end()) for m in re.finditer(r"\S+", text) if re.search(r"[A-Za-z0-9\u0080-\U0010ffff]", m.group())]
     if not found:
         return []
@@ -197,7 +197,7 @@ def plain_sentences(text, longest=7):
         cuts.add(min(range(k, k + longest), key=lambda x: (key[x], x)))
     out, first = [], 0
     for c in sorted(cuts):
-        out.append((tuple(words[first : c + 1]), found[first][0], stops[c]))
+        out.append((tuple(words[first : c + 1]), found[first][0], stops[c], closes[c] or c == len(words) - 1))
         first = c + 1
     return out
 
@@ -210,15 +210,27 @@ def word_hashes(words):
     return at.word_hashes(data, starts, ends, at.byte_codes(fold=False))
 
 
-def brute_cut(rows, run=4):
-    """Every run of sentences, as words, held against all earlier ones."""
+def plain_spans(text, run=4, words=20):
+    """(words, start, end) of every span, by trying every run of parts."""
+    s, out = plain_parts(text or ""), set()
+    long = lambda a, b: sum(p[3] for p in s[a : b + 1]) >= run or sum(len(p[0]) for p in s[a : b + 1]) >= words
+    for a in range(len(s)):
+        b = next((b for b in range(a, len(s)) if long(a, b)), None)
+        if b is not None:
+            out.add((a, b))
+    last = next((a for a in reversed(range(len(s))) if long(a, len(s) - 1)), None)
+    if last is not None:
+        out.add((last, len(s) - 1))
+    return [(tuple(w for p in s[a : b + 1] for w in p[0]), s[a][1], s[b][2]) for a, b in sorted(out)]
+
+
+def brute_cut(rows):
+    """Every span, as words, held against all earlier ones."""
     first, occ = {}, []
     for i, t in sorted(rows):
-        s = plain_sentences(t or "")
-        for k in range(len(s) - run + 1):
-            words = tuple(w for part in s[k : k + run] for w in part[0])
+        for words, a, b in plain_spans(t):
             if words in first:
-                occ.append((i, s[k][1], s[k + run - 1][2]))
+                occ.append((i, a, b))
             else:
                 first[words] = i
     out = {}
@@ -235,13 +247,13 @@ def test_repeated_passages_go_but_for_the_first(spark):
     rng = random.Random(9)
     filler = lambda: " ".join(f"z{rng.randrange(10**6)}" for _ in range(30)) + ". "
     rows = [(i, filler() + PASSAGE + " " + filler()) for i in range(6)] + [(10, filler() + filler()), (11, None), (12, ""), (13, "short. text."), (14, PASSAGE + "\n" + PASSAGE)]
-    rows += [(15, "One two. Three four! Five six? Seven eight."), (16, filler() + "One two. Three four! Five six? Seven eight.\n" + filler())]
+    rows += [(15, "One two. Three four! Five six? Seven eight."), (17, "A line of words. Shared. By all."), (18, filler() + "A line of words. Shared. By all. " + filler()), (17, "A line of words. Shared. By all."), (18, filler() + "A line of words. Shared. By all. " + filler()), (16, filler() + "One two. Three four! Five six? Seven eight.\n" + filler())]
     rows += [(20 + i, filler() + " ".join(f"n{k}" for k in range(120)) + " " + filler()) for i in range(3)]
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, start string")
     out = {r["doc_id"]: r["text"] for r in substrings.remove_repeated(docs).collect()}
     assert out == brute_cut(rows)
     assert PASSAGE in out[0] and all(PASSAGE[:60] not in out[i] for i in range(1, 6)) and out[10] == dict(rows)[10] and out[11] is None
-    assert "Five six" in out[15] and "Five six" not in out[16]
+    assert out[18] == dict(rows)[18] and "Five six" in out[15] and "Five six" not in out[16]
     assert all("n60 n61 n62" not in out[20 + i] for i in (1, 2))
 
 
@@ -300,7 +312,7 @@ def test_texts_without_id_or_of_one_id_count_against_one_another(spark):
 
 def test_units_stand_alike_in_any_case_and_blank():
     assert [h for h, *_ in substrings.spans(PASSAGE.replace("first", "\u00c4RGER"))] == [h for h, *_ in substrings.spans(PASSAGE.upper().replace("FIRST", "\u00e4rger").replace(" ", "\u00a0"))]
-    assert max(n for *_, n in substrings.units("w " * 40 + PASSAGE)) <= 7
+    assert max(n for *_, n in substrings.units("w " * 40 + PASSAGE)) <= 8
 
 
 def test_substring_columns_of_any_name_and_very_long_texts(spark):
@@ -309,7 +321,7 @@ def test_substring_columns_of_any_name_and_very_long_texts(spark):
     got = substrings.remove_repeated(docs)
     assert got.columns == [*docs.columns, "__cut_"]
     out = {r["doc_id"]: r for r in got.collect()}
-    assert out[1]["text"] == long and len(out[2]["text"].split()) <= 2 + 7 and out[2]["text"].startswith("short tail.") and (out[2]["__id"], out[2]["__cut"]) == (6, "d")
+    assert out[1]["text"] == long and len(out[2]["text"].split()) <= 2 + 8 and out[2]["text"].startswith("short tail.") and (out[2]["__id"], out[2]["__cut"]) == (6, "d")
 
 
 # --- decontamination -------------------------------------------------------------
