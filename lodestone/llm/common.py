@@ -55,6 +55,12 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect what finished plans hold: only then does Spark remove their shuffle files and
+    broadcast blocks, which a driver with little garbage of its own would keep for long."""
+    spark._jvm.System.gc()
+
+
 def fresh(name: str, *taken: str) -> str:
     """A column name that starts like ``name`` and that none of ``taken`` has (in any case)."""
     used = {t.lower() for t in taken}

@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 from .common import cut, discard
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _flat(edges: DataFrame) -> bool:
+    """Whether every node of ``edges(a, b)`` is either a least node or has one edge, to such a node."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    nodes = edges.select(ends.alias("x")).select("x.*").groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of ``edges(a, b)`` can reach.
 
-    Both kinds of steps alternate until the edges stay as they are.
+    Both kinds of steps alternate until all components are stars.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = _mark(e)
-    while seen[0]:
+    while not _flat(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -38,8 +40,4 @@ def components(edges: DataFrame) -> DataFrame:
         )
         before, e = e, cut(small, "edges")
         discard(before)
-        now = _mark(e)
-        if now == seen:
-            break
-        seen = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as at
-from .common import cut, discard, fresh
+from .common import cut, discard, fresh, release
 from .components import components
 
 #: at similarity 0.8 a pair shares none of 40 bands of 5 with probability 1.2e-7
@@ -204,6 +204,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, doc_id: str, text: str)
     close = (F.col("c") != F.col("cls")) & (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
     stars = members.join(centres, "band").where(close).select("c", F.col("cls").alias("m")).distinct()
     label = cut(components(_verified(stars, sets, percent)), "labels")
+    release(docs.sparkSession)
 
     owned = members.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").select("band", "cls", "n", F.coalesce("label", "cls").alias("own"))
     split = owned.groupBy("band").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("band")
@@ -222,6 +223,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, doc_id: str, text: str)
     )
     labels = cut(labels, "class-labels")
     discard(members, sets, loose, label, classes)
+    release(docs.sparkSession)
     return signed, labels
 
 

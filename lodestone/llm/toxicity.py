@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, discard, fresh
+from .common import bounded, discard, fresh, release
 
 #: Common English insults and threats by category, the weak labels of the chain's first links.
 SEEDS = {
@@ -267,6 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: i
     rows, pool = bounded(docs, labels, "toxic", max_rows, max_bytes, doc_id, text)
     found = rows.toArrow().sort_by("o")
     discard(pool)
+    release(docs.sparkSession)
     return fit(found.column("text").to_pylist(), np.array(found.column("y").to_pylist(), float))
 
 
