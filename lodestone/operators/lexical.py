@@ -109,7 +109,9 @@ def postings(docs: DataFrame, key: str, fields: list[Field], *more: str) -> Data
         return lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
 
     weighted = F.concat(*[F.transform(f.terms(), weigh(f.boost)) for f in fields])
-    listed = docs.select(key, *more, _length(fields).alias("dl"), F.explode(weighted).alias("x"))
+    # the length is a column before the terms are listed, or it would be counted again for each of them
+    counted = docs.withColumn("dl", _length(fields))
+    listed = counted.select(key, *more, "dl", F.explode(weighted).alias("x"))
     return listed.groupBy(key, *more, "dl", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
 
 
