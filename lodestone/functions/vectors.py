@@ -25,9 +25,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def l2_normalise(a: Column) -> Column:
-    """Unit length; a vector of (almost) no length stays as it is."""
-    n = norm(a)
-    return F.when(n > 1e-10, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """Unit length, with the length computed once; a vector of (almost) no length stays as it is."""
+    plain = F.transform(a, lambda x: x.cast("double"))
+    return F.transform(F.array(norm(a)), lambda n: F.when(n > 1e-10, F.transform(a, lambda x: x.cast("double") / n)).otherwise(plain))[0]
 
 
 def truncate(a: Column, dim: int) -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import text
+from lodestone.functions import text, vectors
 from lodestone.operators import ann, chunk, graph, hierarchy, incremental, lexical, rank
 from lodestone.plans import planner
 
@@ -174,6 +174,42 @@ def test_neighbour_index_holds_every_row_and_finds_most(spark, tmp_path):
     indexed.unpersist()
 
 
+def test_many_queries_at_once_equal_one_by_one(spark):
+    rng = np.random.default_rng(8)
+    some = [[float(x) for x in v] for v in rng.normal(size=(150, 8))]
+    odd = [[0.0] * 8, [1e-170] * 8, [1e200] * 8, [float("inf"), *[1.0] * 7], [float("nan"), *[1.0] * 7]]
+    # copies under other keys, ties after rounding, negative keys
+    rows = [*some, *some[:30], *[some[0]] * 25, *[[x + 1e-8 for x in some[1]]] * 6, *odd]
+    d = spark.createDataFrame([(700 - 3 * i, v) for i, v in enumerate(rows)], "chunk_idx long, vector array<double>").repartition(3)
+    cells = ann.Cells.fit(d.where("chunk_idx > 100"), cells=9, probes=2)
+    held = cells.assign(d).persist()
+    asked = [*some[:12], *odd, [-x for x in some[1]]]
+    got = ann.nearest(held, cells, asked, 7).collect()
+    for i, q in enumerate(asked):
+        for probed, of in ((False, held), (True, held.where(cells.near(q)))):
+            want = [(round(r["semantic"] * 1e6), r["chunk_idx"]) for r in ann.exact(of, vectors.literal(q), 7).select(F.round("semantic", 6).alias("semantic"), "chunk_idx").collect()]
+            assert sorted(((r["units"], r["key"]) for r in got if r["query"] == i and r["probed"] == probed), key=lambda x: (-x[0], x[1])) == want, (i, probed)
+    held.unpersist()
+
+
+def test_recall_takes_no_more_jobs_for_more_queries(spark):
+    rng = np.random.default_rng(9)
+    some = [[float(x) for x in v] for v in rng.normal(size=(400, 6))]
+    d = spark.createDataFrame(list(enumerate(some)), "chunk_idx long, vector array<double>")
+    cells = ann.Cells.fit(d, cells=10, probes=4)
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for n in (5, 60):
+        spark.sparkContext.setJobGroup(f"recall-{n}", "")
+        share = ann.recall(cells.assign(d), cells, some[:n])
+        spark.sparkContext._jsc.clearJobGroup()
+        jobs.append(len(tracker.getJobIdsForGroup(f"recall-{n}")))
+    assert 0 < jobs[0] == jobs[1]
+    alone = [{r[0] for r in ann.exact(x, vectors.literal(some[i]), 10).select("chunk_idx").collect()} for i in range(8) for h in [cells.assign(d)] for x in (h, h.where(cells.near(some[i])))]
+    assert ann.recall(cells.assign(d), cells, some[:8]) == sum(len(a & b) for a, b in zip(alone[::2], alone[1::2], strict=True)) / 80
+    # queries without a vector, or of another length than any row's, find nothing
+    assert ann.recall(cells.assign(d), cells, [None, [], [1.0, None]]) == 1.0 and 0 < share < 1
+
+
 def test_a_search_leaves_nothing_cached(spark):
     d = spark.createDataFrame([(i, str(i), f"p{i}.rs", "rust", 1, f"alpha beta w{i}", f"h{i}", [float(i % 7), 1.0, -1.0]) for i in range(60)], "chunk_idx long, id string, path string, language string, start_line int, text string, hash string, vector array<double>")
     held = spark.sparkContext._jsc.getPersistentRDDs().size()
